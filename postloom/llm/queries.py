@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postloom.llm.dedup import collapse_copies
+from postloom.llm.truncation import find_truncated, truncation_rates
 from postloom.sources import read_table
 
 
@@ -22,3 +23,14 @@ def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_copies": p2_copies}
 SQL: dict[str, str] = {}
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_truncated(read_table(spark, sf_dir, "documents")).filter("truncated").select(F.col("id").alias("doc_id"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation_rates(find_truncated(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES |= {"p9_found": p9_found, "p9_rates": p9_rates}
