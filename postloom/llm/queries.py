@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postloom.llm.conversations import rebuild_conversations
 from postloom.llm.dedup import collapse_copies
 from postloom.llm.truncation import find_truncated, truncation_rates
 from postloom.sources import read_table
@@ -34,3 +35,15 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p9_found": p9_found, "p9_rates": p9_rates}
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuild_conversations(read_table(spark, sf_dir, "parsed_emails")).select(F.col("conv").alias("conv_email_id"), "turn_no", F.col("id").alias("email_id"))
+
+
+def p5_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = rebuild_conversations(read_table(spark, sf_dir, "parsed_emails"))
+    return turns.groupBy(F.col("conv").alias("conv_email_id")).agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "opener").alias("n_opener_turns"), F.count_distinct("sender").alias("n_people"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_roles": p5_roles}

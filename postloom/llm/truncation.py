@@ -18,8 +18,8 @@ def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     Words are what stands between white space, in a coarse form (numbers, capitalised words and links are one class each, line ends are kept
     on the word). All trigrams of all texts are counted inside texts and at their ends. A text is cut when its last trigram, whose last word
     may be the beginning of a longer one, is frequent inside texts, yet almost never ends one: of at least ``min_seen`` occurrences at most
-    ``max_terminal`` are ends. Where the trigram is rarer than that, its last two words decide, then its last word; after a final full stop, question or
-    exclamation mark all of the frequent ones must say so. A mark such as "[...]" or a
+    ``max_terminal`` are ends. Where the trigram is rarer than that, its last two words decide, then its last word. A text
+    that ends in a full stop, question or exclamation mark is whole. A mark such as "[...]" or a
     broken character after the cut is taken off first; it decides where all three are too rare, and such a text without mark is whole. Only the first ``width`` characters of a word are told apart.
 
     Null and blank texts are not cut. Repeated ids give one row for each.
@@ -65,7 +65,7 @@ def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     return spark.sql(
         f"""
         WITH found AS (
-          SELECT l.id, coalesce(CASE WHEN any_value(l.x.w) RLIKE '[.?!]$' THEN bool_and(j.cut) FILTER (WHERE j.seen >= {min_seen}) ELSE max_by(j.cut, l.x.level) FILTER (WHERE j.seen >= {min_seen}) END, any_value(l.marked)) AS truncated
+          SELECT l.id, NOT any_value(l.x.w) RLIKE '[.?!]$' AND coalesce(max_by(j.cut, l.x.level) FILTER (WHERE j.seen >= {min_seen}), any_value(l.marked)) AS truncated
           FROM {{last}} AS l JOIN {{judged}} AS j ON j.k = l.x.k AND j.w = l.x.w GROUP BY l.id
         )
         SELECT d.id, d.source, coalesce(f.truncated, false) AS truncated FROM {{docs}} AS d LEFT JOIN found AS f ON f.id = d.id
