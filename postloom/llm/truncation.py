@@ -9,7 +9,9 @@ from postloom.plans.lineage import cut
 #: A mark put after a cut.
 MARK = r"(?is)\s*(\[\s*(\.{2,}|…|truncated|cut|clipped|snip|more|gekürzt|tronqué|cortado)[^\]\n]{0,40}\]|\(\s*(\.{2,}|…|truncated|cut|clipped|snip|more)[^)\n]{0,40}\)|<\s*(\.{2,}|…|truncated|cut|clipped|snip|more)[^>\n]{0,40}>|…|\.{3,}|\uFFFD+|[-*=~_]{2,}\s*(truncated|cut|clipped|snip|message truncated|text truncated)[^\n]{0,40})\s*$"
 
-_LINE_END, _LINK, _NUMBER, _CAPITALISED, _BLANKS = r"[ \t\r]*\n\s*", r"[a-zA-Z]+://\S+", r"[0-9]+(?:[.,:/][0-9]+)*", r"\p{Lu}[\p{L}\p{M}]*", r"(?U)\s+"
+#: Characters, with the white space around it.
+_LONGEST_MARK = 100
+_LINE_END, _LINK, _NUMBER, _CAPITALISED, _BLANKS = r"[ \t\r]*\n\s*", r"(?:https?|ftp)://\S+", r"[0-9]+(?:[.,:/][0-9]+)*", r"\p{Lu}[\p{L}\p{M}]*", r"(?U)\s+"
 
 
 def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", min_seen: int = 100, max_terminal: float = 0.02, width: int = 24) -> DataFrame:
@@ -29,22 +31,27 @@ def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     grams = spark.sql(
         """
         WITH shaped AS (
-          SELECT id, text RLIKE :mark AS marked, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, :mark, ''), :line_end, '¶ '), :link, 'U'), :number, '0'), :capitalised, 'A') AS text
+          SELECT id, right(text, :tail) RLIKE :mark AS marked, regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(left(text, length(text) - :tail), regexp_replace(right(text, :tail), :mark, '')), :line_end, '¶ '), :link, 'U'), :number, '0'), :capitalised, 'A') AS text
           FROM {docs} WHERE text IS NOT NULL
         ),
         words AS (SELECT id, marked, array(concat(array('^', '^'), filter(split(text, :blanks), x -> x NOT IN ('', '¶')))) AS once FROM shaped)
-        SELECT id, marked, element_at(transform(once, t -> CASE WHEN size(t) > 2 THEN transform(sequence(0, size(t) - 3), i -> named_struct('c', xxhash64(t[i], t[i + 1]), 'b', xxhash64(t[i + 1]), 'w', left(rtrim('¶', t[i + 2]), :width), 'last', i = size(t) - 3)) END), 1) AS g
+        SELECT element_at(transform(once, t -> CASE WHEN size(t) > 2 THEN transform(sequence(2, size(t) - 1), i ->
+                 CASE WHEN i = size(t) - 1 THEN concat_ws(' ', t[i - 2], t[i - 1], t[i], id, marked) ELSE concat_ws(' ', t[i - 2], t[i - 1], t[i]) END) END), 1) AS g
         FROM words
         """,
-        args={"mark": MARK, "line_end": _LINE_END, "link": _LINK, "number": _NUMBER, "capitalised": _CAPITALISED, "blanks": _BLANKS, "width": width},
+        args={"mark": MARK, "line_end": _LINE_END, "link": _LINK, "number": _NUMBER, "capitalised": _CAPITALISED, "blanks": _BLANKS, "tail": _LONGEST_MARK},
         docs=docs,
     )
-    # One pass over the texts: trigrams inside texts are counted, the last one of each text keeps its id.
+    # One pass over the texts: trigrams inside texts are counted as strings, the last one of each text carries its id. Keys are made of the distinct ones.
     counted = cut(
         spark.sql(
             """
-            SELECT x.c, x.b, x.w, CASE WHEN x.last THEN id END AS id, x.last AND marked AS marked, count(*) AS n FROM (SELECT id, marked, explode(g) AS x FROM {grams}) GROUP BY 1, 2, 3, 4, 5
+            WITH distinct_grams AS (SELECT split(x, ' ') AS p, n FROM (SELECT x, count(*) AS n FROM (SELECT explode(g) AS x FROM {grams}) GROUP BY x, xxhash64(x)))
+            SELECT xxhash64(p[0], p[1]) AS c, xxhash64(p[1]) AS b, left(rtrim('¶', p[2]), :width) AS w,
+                   CAST(get(p, 3) AS bigint) AS id, CAST(get(p, 4) AS boolean) AS marked, n
+            FROM distinct_grams
             """,
+            args={"width": width},
             grams=grams,
         )
     )
