@@ -11,7 +11,7 @@ MARK = r"(?is)\s*(\[\s*(\.{2,}|…|truncated|cut|clipped|snip|more|gekürzt|tron
 
 #: Characters, with the white space around it.
 _LONGEST_MARK = 100
-_LINE_END, _LINK, _NUMBER, _CAPITALISED, _BLANKS = r"[ \t\r]*\n\s*", r"(?:https?|ftp)://\S+", r"[0-9]+(?:[.,:/][0-9]+)*", r"\p{Lu}[\p{L}\p{M}]*", r"(?U)\s+"
+_LINE_END, _LINK, _NUMBER, _CAPITALISED, _BLANKS = r"[ \t\r]*\n\s*", r"(?:https?|ftp)://\S+", r"[0-9]+(?:[.,:/][0-9]+)*", r"\p{Lu}[\p{L}\p{M}]*", r"[\s\u00a0\u2000-\u200a\u3000]+"
 
 
 def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", min_seen: int = 100, max_terminal: float = 0.02, width: int = 24) -> DataFrame:
@@ -31,10 +31,10 @@ def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     grams = spark.sql(
         """
         WITH shaped AS (
-          SELECT id, right(text, :tail) RLIKE :mark AS marked, regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(left(text, length(text) - :tail), regexp_replace(right(text, :tail), :mark, '')), :line_end, '¶ '), :link, 'U'), :number, '0'), :capitalised, 'A') AS text
+          SELECT id, right(text, :tail) RLIKE :mark AS marked, regexp_replace(regexp_replace(regexp_replace(regexp_replace(btrim(concat(left(text, length(text) - :tail), regexp_replace(right(text, :tail), :mark, '')), ' \n\r\t¶'), :line_end, '¶ '), :link, 'U'), :number, '0'), :capitalised, 'A') AS text
           FROM {docs} WHERE text IS NOT NULL
         ),
-        words AS (SELECT id, marked, array(concat(array('^', '^'), filter(split(text, :blanks), x -> x NOT IN ('', '¶')))) AS once FROM shaped)
+        words AS (SELECT id, marked, array(split(concat('^ ^ ', text), :blanks)) AS once FROM shaped WHERE text <> '')
         SELECT element_at(transform(once, t -> CASE WHEN size(t) > 2 THEN transform(sequence(2, size(t) - 1), i ->
                  CASE WHEN i = size(t) - 1 THEN concat_ws(' ', t[i - 2], t[i - 1], t[i], id, marked) ELSE concat_ws(' ', t[i - 2], t[i - 1], t[i]) END) END), 1) AS g
         FROM words
