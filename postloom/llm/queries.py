@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postloom.llm.conversations import rebuild_conversations
 from postloom.llm.dedup import collapse_copies
+from postloom.llm.leakage import find_leaks, item_body
 from postloom.llm.truncation import find_truncated, truncation_rates
 from postloom.sources import read_table
 
@@ -47,3 +48,19 @@ def p5_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_roles": p5_roles}
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "eval_set").select("item_id", item_body(F.col("message")).alias("text"))
+    return find_leaks(read_table(spark, sf_dir, "documents"), items)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+QUERIES |= {"p7_found": p7_found, "p7_removals": p7_removals}
