@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from postloom.llm.conversations import rebuild_conversations
 from postloom.llm.dedup import collapse_copies
 from postloom.llm.leakage import find_leaks, item_body
+from postloom.llm.mixing import mix_sources
 from postloom.llm.truncation import find_truncated, truncation_rates
 from postloom.sources import read_table
 
@@ -64,3 +65,15 @@ def p7_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p7_found": p7_found, "p7_removals": p7_removals}
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, report = mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    return report.filter("short").select(F.col("mix").alias("mix_name"), "source")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES |= {"p8_found": p8_found, "p8_report": p8_report}
