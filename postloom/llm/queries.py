@@ -10,6 +10,7 @@ from postloom.llm.conversations import rebuild_conversations
 from postloom.llm.dedup import collapse_copies
 from postloom.llm.leakage import find_leaks, item_body
 from postloom.llm.mixing import mix_sources
+from postloom.llm.residue import exclude_residue, find_residue
 from postloom.llm.truncation import find_truncated, truncation_rates
 from postloom.sources import read_table
 
@@ -77,3 +78,14 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p8_found": p8_found, "p8_report": p8_report}
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_residue(read_table(spark, sf_dir, "synthetic_emails"), "syn_id", ("body", "quoted")).select(F.col("id").alias("syn_id"), "field")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exclude_residue(read_table(spark, sf_dir, "synthetic_emails"), "syn_id", ("body", "quoted")).select("syn_id", "run_name", "idx")
+
+
+QUERIES |= {"p6_found": p6_found, "p6_clean": p6_clean}
