@@ -11,6 +11,7 @@ from postloom.llm.dedup import collapse_copies
 from postloom.llm.leakage import find_leaks, item_body
 from postloom.llm.mixing import mix_sources
 from postloom.llm.residue import exclude_residue, find_residue
+from postloom.llm.sharing import find_shared
 from postloom.llm.truncation import find_truncated, truncation_rates
 from postloom.sources import read_table
 
@@ -89,3 +90,24 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_clean": p6_clean}
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables' bodies; even records are parsed e-mails, odd ones synthetic."""
+    parsed = read_table(spark, sf_dir, "parsed_emails").select((F.col("email_id") * 2).alias("rec"), F.col("body").alias("text"))
+    return parsed.unionByName(read_table(spark, sf_dir, "synthetic_emails").select((F.col("syn_id") * 2 + 1).alias("rec"), F.col("body").alias("text")))
+
+
+def _named(found: DataFrame, *more: str) -> DataFrame:
+    return found.select(F.when(F.col("rec") % 2 == 0, "parsed").otherwise("synthetic").alias("record_type"), F.shiftright("rec", 1).alias("record_id"), *more)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(find_shared(_bodies(spark, sf_dir), measure=False))
+
+
+def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(find_shared(_bodies(spark, sf_dir)), F.col("shared").alias("shared_chars"), F.col("spans").alias("n_spans"))
+
+
+QUERIES |= {"p3_found": p3_found, "p3_shared": p3_shared}
