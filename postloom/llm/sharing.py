@@ -27,37 +27,36 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str], list]
             first, size = i + 1, 0
 
 
-def _chunk_rows(least: int, spread: int, shortest: int, before: int):
+def _chunk_rows(least: int, spread: int):
+    before, after = spread + GEAR - 2, spread
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts, _ in _groups(batch):
                 c = Chunker(texts, spread)
-                b = c.boundaries
-                text = c.text_of[b]
+                start, end = c.boundaries[:-1], c.boundaries[1:]
+                text = c.text_of[start]
                 low, high = c.starts[text], c.starts[text + 1]
-                # A chunk ends at the first boundary that leaves it at least ``shortest`` characters.
-                to = np.searchsorted(b, b + shortest)
-                whole = to < len(b)
-                end = b[np.minimum(to, len(b) - 1)] if len(b) else b
-                whole &= end < high
-                b, text, low, high, end = b[whole], text[whole], low[whole], high[whole], end[whole]
-                w0, w1 = b - before, b - before + least
-                has_window = (w0 >= low) & (w1 <= high)
-                w0, w1 = np.where(has_window, w0, b), np.where(has_window, w1, b)
-                window, window2 = c.digest(w0, w1, 0), c.digest(w0, w1, 1)
-                arrays = [pa.array(np.array(ids, dtype=np.int64)[text]), pa.array((b - low).astype(np.int32)), pa.array((end - low).astype(np.int32)), pa.array(c.digest(b, end)), pa.array(window, mask=~has_window), pa.array(window2, mask=~has_window)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["rec", "start", "end", "d", "c", "c2"])
+                # The characters that the chunk's two ends depend on belong to it.
+                inside = (start - before >= low) & (end + after <= high) & (end - start <= spread)
+                start, end, text, low, high = start[inside] - before, end[inside] + after, text[inside], low[inside], high[inside]
+                w0 = start - (least - (end - start)) // 2
+                has_window = (w0 >= low) & (w0 + least <= high)
+                w0 = np.where(has_window, w0, low)
+                window = c.digest(w0, np.where(has_window, w0 + least, low), 1)
+                arrays = [pa.array(np.array(ids, dtype=np.int64)[text]), pa.array(((start - low) << 32) | (end - low)), pa.array(c.digest(start, end, 0)), pa.array(window, mask=~has_window)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["rec", "span", "d", "c"])
 
     return run
 
 
-_FLAGGED = "rec long, start int, end int, d long, c long, c2 long, status int, edge int"
+_FLAGGED = "rec long, span long, d long, c long, status int, edge int"
 
 
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Flags the rows of one range, sorted by (d, c, c2, rec). Status 2: another record has the same window; 1: the same chunk.
+    """Flags the rows of one range, sorted by (d, c, rec). Status 2: another record has the same window; 1: the same chunk.
 
-    Edge 1: the row's chunk may go on in another range. Edge 2: so may its window.
+    Edge 1: the row's chunk may go on in another range. Edge 2: so may its window. Without an edge, the window is left out.
     """
     got = [b for b in batches if b.num_rows]
     if not got:
@@ -65,9 +64,9 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(got).combine_chunks()
     rec, d = table["rec"].to_numpy(), table["d"].to_numpy()
     has = table["c"].is_valid().to_numpy()
-    c, c2 = table["c"].fill_null(0).to_numpy(), table["c2"].fill_null(0).to_numpy()
+    c = table["c"].fill_null(0).to_numpy()
     new_d = np.concatenate(([True], d[1:] != d[:-1]))
-    new_c = new_d | np.concatenate(([True], (c[1:] != c[:-1]) | (c2[1:] != c2[:-1]) | (has[1:] != has[:-1])))
+    new_c = new_d | np.concatenate(([True], (c[1:] != c[:-1]) | (has[1:] != has[:-1])))
 
     def several(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(new)
@@ -78,9 +77,10 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     many_c, of_c = several(new_c)
     status = np.where(many_c & has, 2, np.where(many_d, 1, 0))
     edge = np.where((of_c == 0) | (of_c == of_c[-1]), 2, np.where((of_d == 0) | (of_d == of_d[-1]), 1, 0))
-    keep = (status > 0) | (edge > 0)
-    out = table.filter(pa.array(keep)).append_column("status", pa.array(status[keep].astype(np.int32))).append_column("edge", pa.array(edge[keep].astype(np.int32)))
-    yield from out.to_batches(max_chunksize=20_000)
+    keep = np.flatnonzero((status > 0) | (edge > 0))
+    for at in range(0, len(keep), 20_000):
+        k = keep[at : at + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array(rec[k]), table["span"].take(pa.array(k)).combine_chunks(), pa.array(d[k]), pa.array(c[k], mask=~has[k] | (edge[k] == 0)), pa.array(status[k].astype(np.int32)), pa.array(edge[k].astype(np.int32))], names=["rec", "span", "d", "c", "status", "edge"])
 
 
 def _windows(least: int):
@@ -91,7 +91,7 @@ def _windows(least: int):
                 whose, at = [], []
                 for i, own in enumerate(spans):
                     length = len(texts[i])
-                    places = np.unique(np.concatenate([np.arange(max(0, s["end"] - least), min(s["start"], length - least) + 1) for s in own]))
+                    places = np.unique(np.concatenate([np.arange(max(0, (s & 0xFFFFFFFF) - least), min(s >> 32, length - least) + 1) for s in own]))
                     whose.append(np.full(len(places), i))
                     at.append(places)
                 whose, at = np.concatenate(whose), np.concatenate(at)
@@ -110,38 +110,38 @@ def _cover(windows: DataFrame, least: int) -> DataFrame:
     return merged.select("rec", (F.lit(least) + F.aggregate("g", F.lit(0), lambda a, x: a + F.least(x.cast("int"), F.lit(least)))).alias("shared"), (F.size(F.filter("g", lambda x: x > least)) + 1).alias("spans"))
 
 
-def find_shared(records: DataFrame, least: int = 160, spread: int = 28, shortest: int = 32, measure: bool = True) -> DataFrame:
+def find_shared(records: DataFrame, least: int = 160, spread: int = 36, measure: bool = True) -> DataFrame:
     """(rec, shared, spans) for each record of ``records(rec, text)`` that has at least ``least`` characters in a row which also stand in another record.
 
-    Texts are cut into chunks by their content. With these settings any ``least`` characters hold a whole chunk whose ends depend on them only
-    (``4 * spread + GEAR + shortest <= least``), so records that share them share its digest. Chunks and the window of ``least`` characters
-    around each are range-partitioned by (digests, record), sorted, and compared with their neighbours; a chunk that a third of all records
-    have spreads over many ranges. A shared window settles its record. Of records that share chunks but no such window, all windows over
-    these chunks are compared. Windows have digests of 128 bits.
+    Texts are cut into chunks by their content; a chunk goes with the few characters before and after it that its ends depend on. With these
+    settings any ``least`` characters hold a chunk so extended (``4 * spread + GEAR <= least``), so records that share them share its digest.
+    Each chunk and the window of ``least`` characters around it are range-partitioned by (digests, record), sorted, and compared with
+    their neighbours; a chunk that a third of all records have spreads over many ranges. A shared window settles its record. Of records that
+    share chunks but no such window, all windows over these chunks are compared. What decides has digests of 128 bits.
 
-    ``shared`` counts the characters in such windows and ``spans`` the separate parts. With ``measure`` the windows over the rims of settled
-    records' spans are compared too and ``shared`` is exact; without, it may lack up to ``spread + GEAR`` characters at each end.
+    ``shared`` counts the characters in such windows and ``spans`` the separate parts. With ``measure`` all windows over shared chunks are
+    compared and ``shared`` is exact; without, it may lack up to ``2 * spread`` characters at each end.
 
     Null and shorter texts share nothing. Rows of one ``rec`` are one record.
     """
-    if 4 * spread + GEAR + shortest > least:
+    if 4 * spread + GEAR > least:
         raise ValueError("chunks too long for such spans")
     texts = records.filter(f"rec is not null and length(text) >= {least}").select("rec", "text")
-    before = (least - shortest) // 3
-    rows = texts.mapInArrow(_chunk_rows(least, spread, shortest, before), "rec long, start int, end int, d long, c long, c2 long")
-    order = ["d", "c", "c2", "rec"]
+    rows = texts.mapInArrow(_chunk_rows(least, spread), "rec long, span long, d long, c long")
+    order = ["d", "c", "rec"]
     flagged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_flag, _FLAGGED))
     edges = flagged.filter("edge > 0")
     d_edges = edges.groupBy("d").agg((F.min("rec") != F.max("rec")).alias("many_d")).filter("many_d")
-    c_edges = edges.filter("edge = 2 and c is not null").groupBy("d", "c", "c2").agg((F.min("rec") != F.max("rec")).alias("many_c")).filter("many_c")
-    at_edges = edges.join(c_edges, ["d", "c", "c2"], "left").join(d_edges, "d", "left").withColumn("status", F.greatest("status", F.when(F.col("many_c"), 2).when(F.col("many_d"), 1).otherwise(0))).drop("many_c", "many_d")
-    status = flagged.filter("edge = 0").unionByName(at_edges).filter("status > 0")
-    settled = status.filter("status = 2").select("rec", (F.col("start") - before).alias("start"))
-    open_ = status.filter("status = 1")
+    c_edges = edges.filter("edge = 2 and c is not null").groupBy("d", "c").agg((F.min("rec") != F.max("rec")).alias("many_c")).filter("many_c")
+    at_edges = edges.join(c_edges, ["d", "c"], "left").join(d_edges, "d", "left").withColumn("status", F.greatest("status", F.when(F.col("many_c"), 2).when(F.col("many_d"), 1).otherwise(0)))
+    status = flagged.filter("edge = 0").select("rec", "span", "d", "status").unionByName(at_edges.select("rec", "span", "d", "status")).filter("status > 0")
+    start, end = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))
+    settled = status.filter("status = 2").select("rec", (start - F.floor((F.lit(least) - (end - start)) / 2)).cast("int").alias("start"))
+    open_ = status
     if not measure:
-        open_ = open_.join(settled.select("rec").distinct(), "rec", "left_anti")
+        open_ = status.filter("status = 1").join(settled.select("rec").distinct(), "rec", "left_anti")
     # Settled rows with the same chunk take part: they may be the other side.
-    spans = status.join(open_.select("d").distinct(), "d", "left_semi").groupBy("rec").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = status.join(open_.select("d").distinct(), "d", "left_semi").groupBy("rec").agg(F.collect_set("span").alias("spans"))
     windows = cut(texts.dropDuplicates(["rec"]).join(spans, "rec").select("rec", "text", "spans").mapInArrow(_windows(least), "rec long, start int, c long, c2 long"))
     several = windows.groupBy("c", "c2").agg((F.min("rec") != F.max("rec")).alias("many")).filter("many").select("c", "c2")
     return _cover(settled.unionByName(windows.join(several, ["c", "c2"]).select("rec", "start")), least)
