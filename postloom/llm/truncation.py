@@ -11,14 +11,13 @@ MARK = r"(?is)\s*(\[\s*(\.{2,}|…|truncated|cut|clipped|snip|more|gekürzt|tron
 
 #: Characters, with the white space around it.
 _LONGEST_MARK = 100
-_LINE_END, _LINK, _NUMBER, _CAPITALISED, _BLANKS = r"[ \t\r]*\n\s*", r"(?:https?|ftp)://\S+", r"[0-9]+(?:[.,:/][0-9]+)*", r"\p{Lu}[\p{L}\p{M}]*", r"[\s\u00a0\u2000-\u200a\u3000]+"
+_NUMBER, _CAPITALISED = r"[0-9]+(?:[.,:/][0-9]+)*", r"\p{Lu}[\p{L}\p{M}]*"
 
 
 def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", min_seen: int = 100, max_terminal: float = 0.02, width: int = 24) -> DataFrame:
     """(id, source, truncated) for each row with an id.
 
-    Words are what stands between white space, in a coarse form (numbers, capitalised words and links are one class each, line ends are kept
-    on the word). All trigrams of all texts are counted inside texts and at their ends. A text is cut when its last trigram, whose last word
+    Words are what stands between blanks, in a coarse form (numbers and capitalised words are one class each, line ends are kept on the word). All trigrams of all texts are counted inside texts and at their ends. A text is cut when its last trigram, whose last word
     may be the beginning of a longer one, is frequent inside texts, yet almost never ends one: of at least ``min_seen`` occurrences at most
     ``max_terminal`` are ends. Where the trigram is rarer than that, its last two words decide, then its last word. A text
     that ends in a full stop, question or exclamation mark is whole. A mark such as "[...]" or a
@@ -31,15 +30,15 @@ def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     grams = spark.sql(
         """
         WITH shaped AS (
-          SELECT id, right(text, :tail) RLIKE :mark AS marked, regexp_replace(regexp_replace(regexp_replace(regexp_replace(btrim(concat(left(text, length(text) - :tail), regexp_replace(right(text, :tail), :mark, '')), ' \n\r\t¶'), :line_end, '¶ '), :link, 'U'), :number, '0'), :capitalised, 'A') AS text
+          SELECT id, right(text, :tail) RLIKE :mark AS marked, regexp_replace(regexp_replace(replace(btrim(concat(left(text, length(text) - :tail), regexp_replace(right(text, :tail), :mark, '')), ' \n\r\t'), '\n', '¶ '), :number, '0'), :capitalised, 'A') AS text
           FROM {docs} WHERE text IS NOT NULL
         ),
-        words AS (SELECT id, marked, array(split(concat('^ ^ ', text), :blanks)) AS once FROM shaped WHERE text <> '')
+        words AS (SELECT id, marked, array(split(concat('^ ^ ', text), ' ')) AS once FROM shaped WHERE text <> '')
         SELECT element_at(transform(once, t -> CASE WHEN size(t) > 2 THEN transform(sequence(2, size(t) - 1), i ->
                  CASE WHEN i = size(t) - 1 THEN concat_ws(' ', t[i - 2], t[i - 1], t[i], id, marked) ELSE concat_ws(' ', t[i - 2], t[i - 1], t[i]) END) END), 1) AS g
         FROM words
         """,
-        args={"mark": MARK, "line_end": _LINE_END, "link": _LINK, "number": _NUMBER, "capitalised": _CAPITALISED, "blanks": _BLANKS, "tail": _LONGEST_MARK},
+        args={"mark": MARK, "number": _NUMBER, "capitalised": _CAPITALISED, "tail": _LONGEST_MARK},
         docs=docs,
     )
     # One pass over the texts: trigrams inside texts are counted as strings, the last one of each text carries its id. Keys are made of the distinct ones.
