@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postloom.llm.authored import find_authored
 from postloom.llm.conversations import rebuild_conversations
 from postloom.llm.dedup import collapse_copies
 from postloom.llm.leakage import find_leaks, item_body
@@ -111,3 +112,16 @@ def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p3_found": p3_found, "p3_shared": p3_shared}
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_authored(read_table(spark, sf_dir, "parsed_emails")).select(F.col("id").alias("email_id"), "line_no")
+
+
+def p1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = find_authored(read_table(spark, sf_dir, "parsed_emails"))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    return lines.groupBy(F.col("id").alias("email_id")).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("authored"))
+
+
+QUERIES |= {"p1_found": p1_found, "p1_text": p1_text}
