@@ -11,6 +11,7 @@ from postloom.llm.conversations import rebuild_conversations
 from postloom.llm.dedup import collapse_copies
 from postloom.llm.leakage import find_leaks, item_body
 from postloom.llm.mixing import mix_sources
+from postloom.llm.pii import find_pii, header_names
 from postloom.llm.residue import exclude_residue, find_residue
 from postloom.llm.sharing import find_shared
 from postloom.llm.truncation import find_truncated, truncation_rates
@@ -125,3 +126,21 @@ def p1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p1_found": p1_found, "p1_text": p1_text}
+
+
+def _free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body and trailer of parsed e-mails, body of synthetic ones."""
+    parsed = read_table(spark, sf_dir, "parsed_emails").select(F.lit("parsed").alias("record_type"), F.col("email_id").alias("record_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("body", "trailer")))).alias("f"))
+    synthetic = read_table(spark, sf_dir, "synthetic_emails").select(F.lit("synthetic").alias("record_type"), F.col("syn_id").alias("record_id"), F.lit("body").alias("field"), F.col("body").alias("text"))
+    return parsed.select("record_type", "record_id", "f.field", "f.text").unionByName(synthetic)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_free_text(spark, sf_dir), header_names(read_table(spark, sf_dir, "parsed_emails")))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_free_text(spark, sf_dir), header_names(read_table(spark, sf_dir, "parsed_emails")), redact=True)
+
+
+QUERIES |= {"p4_found": p4_found, "p4_redacted": p4_redacted}
