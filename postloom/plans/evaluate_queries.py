@@ -196,6 +196,13 @@ QUERIES = {
     "form_auc": _form_auc,
 }
 
+def _scoped(mark: str) -> str:
+    flags = "i" if "i" in mark[: mark.index(")")] else ""
+    return f"(?{flags}:{sql.re2('(?U)' + mark[mark.index(')') + 1 :].replace('.*', '[^\\n]*').replace('.{', '[^\\n]{'))[1:-1]})" if flags else sql.re2("(?U)" + mark[mark.index(")") + 1 :].replace(".*", "[^\\n]*").replace(".{", "[^\\n]{"))[1:-1]
+
+
+_SQL_MARKS = "'(?m)" + "|".join(_scoped(m) for m in mail.TRAILER_MARKS) + "'"
+_SQL_BEFORE = "'(?ms)\\A(.*?)(?:" + "|".join(_scoped(m) for m in mail.TRAILER_MARKS) + ")'"
 _SQL_HEAD = "split_part(m, chr(10) || chr(10), 1)"
 
 
@@ -215,7 +222,11 @@ SQL = {
     "stratified_sample": f"SELECT email_id, folder_type, has_trailer FROM {_ELIGIBLE} QUALIFY row_number() OVER (PARTITION BY folder_type, has_trailer ORDER BY {_ORDER.format(seed=13, key='email_id')}) <= 20",
     "stratum_sizes": "SELECT grp, has_trailer, count(*) AS n FROM eval_set GROUP BY 1, 2",
     "review_sample": f"SELECT syn_id, file, left(body, 900) AS excerpt FROM synthetic_emails WHERE error IS NULL ORDER BY {_ORDER.format(seed=5, key='syn_id')} LIMIT 30",
-    "split_trailer": "SELECT email_id, CAST(length(body) AS INTEGER) AS body_len, CAST(length(trailer) AS INTEGER) AS trailer_len FROM parsed_emails",
+    "split_trailer": f"""
+WITH t AS (SELECT email_id, replace(raw_body, chr(13) || chr(10), chr(10)) AS r FROM parsed_emails),
+u AS (SELECT *, regexp_matches(r, {_SQL_MARKS}) AS hit, regexp_extract(r, {_SQL_BEFORE}, 1) AS pre FROM t)
+SELECT email_id, CAST(length(regexp_replace(CASE WHEN hit THEN pre ELSE r END, {sql.re2(r"(?U)\s+$")}, '')) AS INTEGER) AS body_len, CAST(CASE WHEN hit THEN length(trim(substr(r, length(pre) + 1), chr(10))) ELSE 0 END AS INTEGER) AS trailer_len FROM u
+""",
     "copy_privacy": _PRIVACY,
     "run_report": f"WITH p AS ({_PRIVACY}) SELECT run_name, count(*) AS n, round(avg(CAST(reported_leak AS INTEGER)), 6) AS leak_rate, round(avg(CAST(company_left AS INTEGER)), 6) AS company_rate, round(avg(CAST(placeholder_left AS INTEGER)), 6) AS placeholder_rate, round(avg(copy8), 6) AS mean_copy8, round(avg(CAST(copy8 > 0.10 AS INTEGER)), 6) AS copied_rate, round(quantile_cont(copy8, 0.95), 6) AS p95_copy8 FROM p GROUP BY 1",
     "run_attempts": "SELECT run_name, count(*) AS n, count(*) FILTER (error IS NOT NULL) AS n_errors, round(avg(meta.attempts), 6) AS mean_attempts, round(avg(CAST(meta.trailer_truncated AS INTEGER)), 6) AS truncated_rate FROM synthetic_emails GROUP BY 1",
