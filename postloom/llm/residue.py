@@ -99,7 +99,7 @@ def _terms(words: Column) -> Column:
 def find_residue(records: DataFrame, id_col: str, fields: tuple[str, ...], exemplars: dict[str, tuple[str, ...]] = EXEMPLARS, window: int = 32, least: float = 0.8) -> DataFrame:
     """(id, field, kind, exemplar, containment): for each field with residue its best exemplar.
 
-    The exemplars' terms (words and pairs of words) form an inverted index. Terms of a field that stand in the index retrieve exemplars for
+    The exemplars' terms (pairs of neighbouring words, or the word of a one-word exemplar) form an inverted index. Terms of a field that stand in the index retrieve exemplars for
     each window of ``window`` words, laid every half window; the containment is the share of the exemplar's TF-IDF weight that the window
     holds, with document frequencies counted over all fields of all records. Exemplars have at most half a window of words, so each lies
     whole in some window. A field counts from a containment of ``least``.
@@ -108,7 +108,7 @@ def find_residue(records: DataFrame, id_col: str, fields: tuple[str, ...], exemp
     """
     spark = records.sparkSession
     listed = [(k, i, e) for i, (k, e) in enumerate((k, e) for k, es in exemplars.items() for e in es)]
-    index = spark.createDataFrame(listed, "kind string, exemplar int, text string").select("kind", "exemplar", F.explode(F.array_distinct(F.transform(_terms(_words(F.col("text"))), lambda t: t["term"]))).alias("term"))
+    index = spark.createDataFrame(listed, "kind string, exemplar int, text string").select("kind", "exemplar", F.size(_words(F.col("text"))).alias("n"), F.explode(F.array_distinct(F.transform(_terms(_words(F.col("text"))), lambda t: t["term"]))).alias("term")).filter(F.contains("term", F.lit(" ")) | (F.col("n") == 1)).drop("n")
     ids = F.col(id_col).cast("long")
     long = records.select(ids.alias("id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("f")).select("id", "f.field", "f.text").filter("id is not null and text is not null and text <> ''")
     terms = long.select("id", "field", F.explode(_terms(_words(F.col("text")))).alias("t")).select("id", "field", "t.term", "t.at").join(F.broadcast(index.select("term").distinct()), "term", "left_semi")
