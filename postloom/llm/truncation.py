@@ -34,8 +34,8 @@ def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
           FROM {docs} WHERE text IS NOT NULL
         ),
         words AS (SELECT id, marked, array(split(concat('^ ^ ', text), ' ')) AS once FROM shaped WHERE text <> '')
-        SELECT element_at(transform(once, t -> CASE WHEN size(t) > 2 THEN transform(sequence(2, size(t) - 1), i ->
-                 CASE WHEN i = size(t) - 1 THEN concat_ws(' ', t[i - 2], t[i - 1], t[i], id, marked) ELSE concat_ws(' ', t[i - 2], t[i - 1], t[i]) END) END), 1) AS g
+        SELECT element_at(transform(once, t -> transform(slice(t, 3, size(t)), (x, i) ->
+                 concat(t[i], ' ', t[i + 1], ' ', x, CASE WHEN i = size(t) - 3 THEN concat(' ', id, ' ', marked) ELSE '' END))), 1) AS g
         FROM words
         """,
         args={"mark": MARK, "number": _NUMBER, "capitalised": _CAPITALISED, "tail": _LONGEST_MARK},
