@@ -96,12 +96,27 @@ def _windows(least: int):
                     at.append(places)
                 whose, at = np.concatenate(whose), np.concatenate(at)
                 start = c.starts[whose] + at
-                arrays = [pa.array(np.array(ids, dtype=np.int64)[whose]), pa.array(at.astype(np.int32)), pa.array(c.digest(start, start + least, 0)), pa.array(c.digest(start, start + least, 1))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["rec", "start", "c", "c2"])
+                arrays = [pa.array(np.array(ids, dtype=np.int64)[whose]), pa.array(at.astype(np.int64)), pa.array(c.digest(start, start + least, 0)), pa.array(c.digest(start, start + least, 1))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["rec", "span", "d", "c"])
 
     return run
 
 
+def _compare(rows: DataFrame) -> DataFrame:
+    """(rec, span, d, status) of the ``rows(rec, span, d, c)`` that other records share: status 2 with the same d and c, 1 with the same d only.
+
+    Rows are range-partitioned by (digests, record), sorted, and compared with their neighbours, so a digest that a third of all records have
+    spreads over many ranges. Digests at the border of a range, a few for each range, are settled afterwards.
+    """
+    order = ["d", "c", "rec"]
+    flagged = cut(rows.select("rec", "span", "d", "c").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_flag, _FLAGGED))
+    edges = flagged.filter("edge > 0")
+    d_edges = edges.groupBy("d").agg((F.min("rec") != F.max("rec")).alias("many_d")).filter("many_d")
+    c_edges = edges.filter("edge = 2 and c is not null").groupBy("d", "c").agg((F.min("rec") != F.max("rec")).alias("many_c")).filter("many_c")
+    at_edges = edges.join(c_edges, ["d", "c"], "left").join(d_edges, "d", "left").withColumn("status", F.greatest("status", F.when(F.col("many_c"), 2).when(F.col("many_d"), 1).otherwise(0)))
+    return flagged.filter("edge = 0").select("rec", "span", "d", "status").unionByName(at_edges.select("rec", "span", "d", "status")).filter("status > 0")
+
+
 def _cover(windows: DataFrame, least: int) -> DataFrame:
     """(rec, shared, spans): characters of the union of windows of ``least`` characters, and its parts."""
     starts = F.array_sort(F.array_distinct(F.collect_list("start")))
@@ -115,8 +130,7 @@ def find_shared(records: DataFrame, least: int = 160, spread: int = 36, measure:
 
     Texts are cut into chunks by their content; a chunk goes with the few characters before and after it that its ends depend on. With these
     settings any ``least`` characters hold a chunk so extended (``4 * spread + GEAR <= least``), so records that share them share its digest.
-    Each chunk and the window of ``least`` characters around it are range-partitioned by (digests, record), sorted, and compared with
-    their neighbours; a chunk that a third of all records have spreads over many ranges. A shared window settles its record. Of records that
+    Each chunk is compared together with the window of ``least`` characters around it. A shared window settles its record. Of records that
     share chunks but no such window, all windows over these chunks are compared. What decides has digests of 128 bits.
 
     ``shared`` counts the characters in such windows and ``spans`` the separate parts. With ``measure`` all windows over shared chunks are
@@ -128,13 +142,7 @@ def find_shared(records: DataFrame, least: int = 160, spread: int = 36, measure:
         raise ValueError("chunks too long for such spans")
     texts = records.filter(f"rec is not null and length(text) >= {least}").select("rec", "text")
     rows = texts.mapInArrow(_chunk_rows(least, spread), "rec long, span long, d long, c long")
-    order = ["d", "c", "rec"]
-    flagged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_flag, _FLAGGED))
-    edges = flagged.filter("edge > 0")
-    d_edges = edges.groupBy("d").agg((F.min("rec") != F.max("rec")).alias("many_d")).filter("many_d")
-    c_edges = edges.filter("edge = 2 and c is not null").groupBy("d", "c").agg((F.min("rec") != F.max("rec")).alias("many_c")).filter("many_c")
-    at_edges = edges.join(c_edges, ["d", "c"], "left").join(d_edges, "d", "left").withColumn("status", F.greatest("status", F.when(F.col("many_c"), 2).when(F.col("many_d"), 1).otherwise(0)))
-    status = flagged.filter("edge = 0").select("rec", "span", "d", "status").unionByName(at_edges.select("rec", "span", "d", "status")).filter("status > 0")
+    status = _compare(rows)
     start, end = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))
     settled = status.filter("status = 2").select("rec", (start - F.floor((F.lit(least) - (end - start)) / 2)).cast("int").alias("start"))
     open_ = status
@@ -142,6 +150,6 @@ def find_shared(records: DataFrame, least: int = 160, spread: int = 36, measure:
         open_ = status.filter("status = 1").join(settled.select("rec").distinct(), "rec", "left_anti")
     # Settled rows with the same chunk take part: they may be the other side.
     spans = status.join(open_.select("d").distinct(), "d", "left_semi").groupBy("rec").agg(F.collect_set("span").alias("spans"))
-    windows = cut(texts.dropDuplicates(["rec"]).join(spans, "rec").select("rec", "text", "spans").mapInArrow(_windows(least), "rec long, start int, c long, c2 long"))
-    several = windows.groupBy("c", "c2").agg((F.min("rec") != F.max("rec")).alias("many")).filter("many").select("c", "c2")
-    return _cover(settled.unionByName(windows.join(several, ["c", "c2"]).select("rec", "start")), least)
+    windows = texts.dropDuplicates(["rec"]).join(spans, "rec").select("rec", "text", "spans").mapInArrow(_windows(least), "rec long, span long, d long, c long")
+    shared = _compare(windows).filter("status = 2").select("rec", F.col("span").cast("int").alias("start"))
+    return _cover(settled.unionByName(shared), least)
