@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postloom.functions import mail
-from postloom.operators import identity, redact, rewrite, style
+from postloom.operators import harvest, identity, judge, redact, rewrite, style
 from postloom.plans.evaluate_queries import _emails, _sources, _synthetic
 from postloom.plans.profile_queries import COMPANY
 from postloom.sources import read_table
@@ -94,6 +94,39 @@ def _rewritten(s: SparkSession, d: str) -> DataFrame:
     return rewrite.rewrite(docs, cache, offline_rewriter).select(F.col("id").alias("email_id"), "attempt", F.array_join("problems", ",").alias("problems"), "forced", F.length("text").alias("out_len"))
 
 
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return _emails(s, d).select(F.col("email_id").alias("doc"), F.concat_ws("\n\n", "body", "trailer").alias("text"))
+
+
+def _given(s: SparkSession, d: str) -> DataFrame:
+    return harvest.given_names(_emails(s, d).select(F.explode(F.array_union(F.array("from_addr"), F.coalesce("to_addrs", F.array().cast("array<string>")))).alias("address")).distinct())
+
+
+def _harvested(s: SparkSession, d: str) -> DataFrame:
+    """How many names each way of finding them gives."""
+    docs, given = _docs(s, d), _given(s, d)
+    ways = {"pairs": harvest.address_pairs(docs).select("doc", "name"), "headers": harvest.header_line_names(docs), "capitals": harvest.capitalised_names(docs, given), "lower_case": harvest.lowercase_names(docs, given, harvest.word_frequencies(docs))}
+    found = None
+    for way, names in ways.items():
+        own = names.withColumn("way", F.lit(way))
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("way").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"), F.count_distinct("doc").alias("n_docs"))
+
+
+def _replies(s: SparkSession, d: str) -> DataFrame:
+    source = _sources(s, d).select("file", F.col("body").alias("source"))
+    pairs = _synthetic(s, d).join(source, "file").select(F.col("syn_id").alias("idx"), "source", F.col("body").alias("derived"))
+    return judge.judge(pairs, s.createDataFrame([], "prompt_key string, text string, cost double, model string"), judge.offline_judge)
+
+
+def _judged_labels(s: SparkSession, d: str) -> DataFrame:
+    replies, found = _replies(s, d), None
+    for label in ("category", "intent", "action_required", "sensitive"):
+        own = judge.label_agreement(replies, label)
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 _PHONE = r"(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}"
 QUERIES = {
     "profile_assign": _profile_assign,
@@ -114,6 +147,13 @@ QUERIES = {
     "consistency": _consistency,
     "consistency_rates": lambda s, d: _consistency(s, d).agg(F.count("*").alias("n"), F.round(F.avg(F.col("sign_ok").cast("int")), 6).alias("sign_rate"), F.round(F.avg(F.col("greet_ok").cast("int")), 6).alias("greet_rate")),
     "rule_arm": _rewritten,
+    "harvested_names": _harvested,
+    "given_names": lambda s, d: _given(s, d),
+    "word_frequencies": lambda s, d: harvest.word_frequencies(_docs(s, d).select("text")),
+    "trimmed": lambda s, d: _emails(s, d).select("email_id", F.length(harvest.trim_words(F.col("raw_body"), 120)).alias("trimmed_len")),
+    "judged_realism": lambda s, d: judge.realism(_replies(s, d)),
+    "judged_artifacts": lambda s, d: judge.top_artifacts(_replies(s, d)),
+    "judged_labels": _judged_labels,
 }
 
 _SQL_MOD = lambda h, n: f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({h}, ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT))), lambda a, x: (a * 16 + x) % {n})"
@@ -126,6 +166,8 @@ SELECT email_id, CASE WHEN regexp_matches(lower(right(b, 200)), '(regards|thanks
 """
 
 SQL = {
+    "given_names": "WITH a AS (SELECT DISTINCT unnest(list_append(to_addrs, from_addr)) AS a FROM parsed_emails), l AS (SELECT list_filter(regexp_split_to_array(split_part(a, '@', 1), '[._-]'), lambda p: p <> '') AS p FROM a), n AS (SELECT DISTINCT lower(p[1]) AS f, lower(p[2]) AS s FROM l WHERE len(p) = 2 AND regexp_matches(p[1], '^\\p{L}{2,}$') AND regexp_matches(p[2], '^\\p{L}{2,}$')) SELECT f AS first, count(*) AS n_last FROM n GROUP BY 1 HAVING count(*) >= 3",
+    "word_frequencies": "WITH w AS (SELECT unnest(regexp_extract_all(lower(concat_ws(chr(10) || chr(10), body, trailer)), '\\p{L}+')) AS word FROM parsed_emails), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1) SELECT word, n, round(log10(n / sum(n) OVER () * 1e9), 4) AS zipf FROM c",
     "profile_assign": f"WITH p AS (SELECT *, row_number() OVER (ORDER BY profile_id) - 1 AS k, count(*) OVER () AS n FROM profiles WHERE profile_set = 'current'), o AS (SELECT DISTINCT split_part(file, '/', 1) AS owner FROM parsed_emails WHERE file <> ''), c AS (SELECT count(*) AS n FROM p), h AS (SELECT owner, {_SQL_MOD(f'''sha256(owner || '|{identity.SALT}')''', 'n')} AS k FROM o, c WHERE owner <> '') SELECT owner, profile_id, name, domain, locale FROM h JOIN p USING (k)",
     "date_shift": f"WITH t AS (SELECT email_id, split_part(file, '/', 1) AS owner, CAST(left(date, 19) AS TIMESTAMP) AS ts FROM parsed_emails), d AS (SELECT *, {_SQL_DAYS} AS shift_days FROM t) SELECT email_id, shift_days, strftime(ts + shift_days * INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S') AS shifted FROM d",
     "redact_emails": "SELECT doc_id, regexp_replace(text, '[A-Za-z0-9_.+''-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+', '[EMAIL]', 'g') AS text FROM documents",

@@ -15,10 +15,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_corpus_csv(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """A CSV of (file, message) whose messages hold line breaks and doubled quotes.
 
-    Such a file can't be split, so the rows are spread over ``partitions`` once after the scan; persist them as Parquet for repeated use.
+    Such a file can't be split, so the rows are spread once after the scan, over ``partitions`` or by size; persist them as Parquet for repeated use.
     """
     df = spark.read.schema(CORPUS_SCHEMA).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    return df.repartition(partitions) if partitions else df.repartition()
+    return df.repartition(partitions) if partitions else df.hint("rebalance")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str, keep_errors: bool = False) -> DataFrame:
