@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +103,30 @@ def _windows(least: int):
     return run
 
 
+def _rims(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Digests of the chunks that some window reaches beyond what the record's settled windows cover."""
+        for batch in batches:
+            out: set[int] = set()
+            for rows in batch.column(0).to_pylist():
+                spans = [(r["span"] >> 32, r["span"] & 0xFFFFFFFF, r["d"], r["status"]) for r in rows]
+                lows: list[int] = []
+                highs: list[int] = []
+                for low in sorted(a - (least - (b - a)) // 2 for a, b, _, status in spans if status == 2):
+                    if highs and low <= highs[-1]:
+                        highs[-1] = low + least
+                    else:
+                        lows.append(low)
+                        highs.append(low + least)
+                for a, b, d, _ in spans:
+                    k = bisect_right(lows, max(0, b - least)) - 1
+                    if k < 0 or highs[k] < a + least:
+                        out.add(d)
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64())], names=["d"])
+
+    return run
+
+
 def _compare(rows: DataFrame) -> DataFrame:
     """(rec, span, d, status) of the ``rows(rec, span, d, c)`` that other records share: status 2 with the same d and c, 1 with the same d only.
 
@@ -133,8 +158,8 @@ def find_shared(records: DataFrame, least: int = 160, spread: int = 36, measure:
     Each chunk is compared together with the window of ``least`` characters around it. A shared window settles its record. Of records that
     share chunks but no such window, all windows over these chunks are compared. What decides has digests of 128 bits.
 
-    ``shared`` counts the characters in such windows and ``spans`` the separate parts. With ``measure`` all windows over shared chunks are
-    compared and ``shared`` is exact; without, it may lack up to ``2 * spread`` characters at each end.
+    ``shared`` counts the characters in such windows and ``spans`` the separate parts. With ``measure`` so are all windows over chunks at the
+    rim of what some record's shared windows cover, and ``shared`` is exact; without, it may lack up to ``2 * spread`` characters at each end.
 
     Null and shorter texts share nothing. Rows of one ``rec`` are one record.
     """
@@ -145,8 +170,9 @@ def find_shared(records: DataFrame, least: int = 160, spread: int = 36, measure:
     status = _compare(rows)
     start, end = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))
     settled = status.filter("status = 2").select("rec", (start - F.floor((F.lit(least) - (end - start)) / 2)).cast("int").alias("start"))
-    open_ = status
-    if not measure:
+    if measure:
+        open_ = status.groupBy("rec").agg(F.collect_list(F.struct("span", "d", "status")).alias("rows")).select("rows").mapInArrow(_rims(least), "d long")
+    else:
         open_ = status.filter("status = 1").join(settled.select("rec").distinct(), "rec", "left_anti")
     # Settled rows with the same chunk take part: they may be the other side.
     spans = status.join(open_.select("d").distinct(), "d", "left_semi").groupBy("rec").agg(F.collect_set("span").alias("spans"))
