@@ -56,15 +56,19 @@ def find_links(messages: DataFrame) -> DataFrame:
     An opener is earlier, has the same bare subject, and its sender and recipients include all of the reply's; the latest one counts, on equal
     instants the larger id. For a reply without date any date will do. ``messages(id, kind, key, people, sender, instant)``.
 
-    Openers are first reduced to their distinct sets of people. A reply meets the sets that hold its sender, not the openers; the openers of a
-    set and its replies are then walked in order of time, range by range, with the last opener carried into the next range. So no pair of an
-    opener and a reply is built, and a subject with any number of rows spreads over several tasks.
+    Openers are first reduced to their distinct sets of people. A reply meets the sets that hold the rarest of its people, so a sender or
+    recipient of very many messages brings no product. The openers of a set and its replies are then walked in order of time, range by range,
+    with the last opener carried into the next range. So no pair of an opener and a reply is built, and a subject with any number of rows
+    spreads over several tasks.
     """
     openers = messages.filter("kind = 'opener'")
-    replies = messages.filter("kind = 'reply'").select("id", "key", "people", "sender", "instant")
+    replies = messages.filter("kind = 'reply'").select("id", "key", "people", "instant")
     sets = openers.select("key", F.col("people").alias("circle")).distinct()
-    by_person = sets.select("key", "circle", F.explode("circle").alias("sender"))
-    met = replies.join(by_person, ["key", "sender"]).filter(F.size(F.array_except("people", "circle")) == 0).select("key", "circle", "id", "instant")
+    by_person = sets.select("key", "circle", F.explode("circle").alias("person"))
+    counts = by_person.groupBy("key", "person").agg(F.count("*").alias("n"))
+    asked = replies.select("id", "key", "people", "instant", F.explode("people").alias("person")).join(counts, ["key", "person"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = asked.groupBy("id").agg(F.min(F.struct("n", "person")).alias("r"), F.any_value("key").alias("key"), F.any_value("people").alias("people"), F.any_value("instant").alias("instant")).filter("r.n > 0")
+    met = rarest.select("id", "key", "people", "instant", F.col("r.person").alias("person")).join(by_person, ["key", "person"]).filter(F.size(F.array_except("people", "circle")) == 0).select("key", "circle", "id", "instant")
     # In one order of time: openers before replies of the same instant only if they are earlier.
     events = met.select("key", "circle", F.col("instant").alias("at"), F.lit(0).alias("is_opener"), "id", F.lit(None).cast("struct<at:timestamp,id:bigint>").alias("opener")).unionByName(
         openers.select("key", F.col("people").alias("circle"), F.col("instant").alias("at"), F.lit(1).alias("is_opener"), "id", F.struct(F.col("instant").alias("at"), "id").alias("opener"))
