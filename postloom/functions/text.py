@@ -31,16 +31,22 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9']+)"), F.lit(1))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Distinct n-grams, each joined by one blank; empty where there are fewer than n words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+def ngrams_all(words: Column, n: int) -> Column:
+    """All n-grams with repeats, each joined by one blank; empty where there are fewer than n words.
 
+    The words are bound once: an expression used inside a lambda would be evaluated anew for each place.
+    """
 
-def ngrams_all(words: Column, n: int) -> Column:
-    """All n-grams with repeats."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def grams(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(words), grams), F.lit(0))
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """Distinct n-grams."""
+    return F.array_distinct(ngrams_all(words, n))
 
 
 def line_count(c: Column) -> Column:

@@ -20,8 +20,8 @@ SPANS = (
     ("NUMBER", r"(?<![0-9])[0-9]{7,}(?![0-9])"),
 )
 _ALL = "|".join(f"(?:{p})" for _, p in SPANS)
-#: Plain text is taken in runs that can't begin a span, else by single characters.
-_SPLIT = rf"(?s)({_ALL}|[^A-Za-z0-9_.+'(-]+|[A-Za-z]+(?![A-Za-z0-9_.+'@:-])|.)"
+#: Plain text is taken in long runs of words and marks that can't begin a span, else by single characters.
+_SPLIT = rf"(?s)({_ALL}|(?:[A-Za-z]++(?=[\s,;!?]|$|\.(?:\s|$))|\.(?=\s|$)|[^A-Za-z0-9_.+'(-]++)++|.)"
 PLACEHOLDER = r"\[(?:COMPANY|ORG_\d+|LOC_\d+|UNIT_\d+)\]"
 
 
@@ -30,7 +30,7 @@ def redact_contacts(c: Column, only: tuple[str, ...] | None = None) -> Column:
 
     The text is cut losslessly into spans and plain pieces, each piece is told apart by its whole shape, and they are joined again.
     """
-    piece = lambda x: _replace(x, only)
+    piece = lambda x: F.when(F.length(x) > 1, _replace(x, only)).otherwise(x)
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_SPLIT), F.lit(1)), piece), "")
 
 
@@ -48,9 +48,12 @@ def span_counts(c: Column) -> Column:
     """How many spans of each kind the text has, as a map without zeros."""
     pieces = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({_ALL})"), F.lit(1))
     kinds = F.transform(pieces, lambda x: F.regexp_extract(_replace(x, None), r"^\[(\w+)\]$", 1))
-    number = lambda kind: F.size(F.filter(kinds, lambda y: y == kind))
-    counts = F.create_map(*(x for kind, _ in SPANS for x in (F.lit(kind), number(kind))))
-    return F.map_filter(counts, lambda _, n: n > 0)
+
+    def counts(found: Column) -> Column:
+        number = lambda kind: F.size(F.filter(found, lambda y: y == kind))
+        return F.create_map(*(x for kind, _ in SPANS for x in (F.lit(kind), number(kind))))
+
+    return F.map_filter(F.get(F.transform(F.array(kinds), counts), F.lit(0)), lambda _, n: n > 0)
 
 
 def shift_numeric_dates(df: DataFrame, text: str, days: str, out: str, years: tuple[int, int] = (1990, 2035)) -> DataFrame:

@@ -82,6 +82,7 @@ def rewrite(docs: DataFrame, cache: DataFrame, rewriter: Rewriter | None, model:
     A document is asked again, with its problems named, while it has some; what still leaks at the end is redacted by force. Each round asks
     only for the documents left over, and its rows are cut into the checkpoint folder.
     """
+    docs = cut(docs.select("id", "text", "terms", "signer"))
     todo = docs.withColumn("hint", F.lit(""))
     done = None
     for k in range(1, rounds + 1):
