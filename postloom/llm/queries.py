@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postloom.llm.authored import find_authored
+from postloom.llm.checks import SQL
 from postloom.llm.conversations import rebuild_conversations
 from postloom.llm.dedup import collapse_copies
 from postloom.llm.leakage import find_leaks, item_body
@@ -29,7 +30,6 @@ def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_copies": p2_copies}
-SQL: dict[str, str] = {}
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
