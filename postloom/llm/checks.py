@@ -59,7 +59,7 @@ SQL = {
     "p2_copies": f"WITH {_COPIES} SELECT email_id, count(*) AS n_copies FROM copies GROUP BY 1",
     "p3_found": """
 WITH r AS (SELECT 'parsed' AS record_type, email_id AS record_id, body AS t FROM parsed_emails UNION ALL SELECT 'synthetic', syn_id, body FROM synthetic_emails),
-w AS (SELECT record_type, record_id, unnest(list_transform(range(1, length(t) - 158), lambda i: hash(substr(t, i, 160)))) AS h FROM r WHERE length(t) >= 160),
+w AS (SELECT record_type, record_id, unnest(list_transform(range(1, length(t) - 158), lambda i: md5(substr(t, i, 160)))) AS h FROM r WHERE length(t) >= 160),
 s AS (SELECT h FROM w GROUP BY h HAVING min(record_type || record_id) <> max(record_type || record_id))
 SELECT DISTINCT record_type, record_id FROM w JOIN s USING (h)
 """,
