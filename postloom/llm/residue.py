@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Forms of unfilled placeholders. Each becomes the word "slotmark".
+#: Words in delimiters that are markup or a remark of the writer, not a slot to fill.
+_NO_SLOT = r"(?i:html|head|title|body|meta|link|style|script|noscript|div|span|font|table|thead|tbody|tr|td|th|p|br|hr|h[1-6]|a|b|i|u|s|em|strong|small|big|center|pre|code|tt|ul|ol|li|dl|dt|dd|img|form|input|blockquote|sub|sup|g|bg|vbg|grin|smile|wink|sigh|snip|laugh|chuckle|lol|omitted|quote|unquote|end|begin|start|stop)"
+#: An identifier, or up to four words as they stand in a slot; one that is written with underscores.
+_NAMED = r"\p{L}[\p{L}\p{N}]*(?:[ _.-][\p{L}\p{N}]+){0,3}"
+_JOINED = r"\p{L}[\p{L}\p{N}]*(?:_[\p{L}\p{N}]+)+"
+#: Forms of unfilled placeholders, words between a delimiter and its counterpart. Each becomes the word "slotmark".
 SLOTS = (
     r"\{\{[^{}\n]{1,40}\}\}",
     r"[$#]\{[^{}\n]{1,40}\}",
+    r"\{%[^%{}\n]{1,40}%\}",
     r"\{[\p{L}\p{N}_. -]{1,30}\}",
     r"<<[^<>\n]{1,40}>>",
+    r"<%[^%<>\n]{1,40}%>",
     r"<\p{L}+(?:[_ ]\p{L}+)+>",
-    r"%%\p{L}[\p{L}_]*%%",
+    rf"<(?!{_NO_SLOT}>)\p{{L}}[\p{{L}}\p{{N}}_]*>",
+    rf"(?<twice>[@%#$^&|:])\k<twice>{{1,3}} ?{_NAMED} ?\k<twice>{{2,4}}",
+    rf"(?<emphatic>[*=~+!_-])\k<emphatic>{{1,3}}{_JOINED}\k<emphatic>{{2,4}}",
+    r"(?<![\p{L}\p{N}@%#$])(?<once>[@%#$])\p{Lu}{2,}(?:_[\p{Lu}\p{N}]+)*\k<once>(?![\p{L}\p{N}@%#$])",
+    r"\*\|[^|*\n]{1,40}\|\*",
     r"%\([\p{L}_]+\)s",
     r"(?<![\p{L}\p{N}%])%s(?![\p{L}\p{N}])",
     r"__\p{Lu}[\p{Lu}_]*__",
+    rf"\[\[ ?{_NAMED} ?\]\]",
+    r"\(\(\p{L}[\p{L}\p{N}_]*\)\)",
+    rf"«{_JOINED}»",
+    rf"\[{_JOINED}\]",
     r"\[\p{Lu}{2,}(?:_\p{Lu}+)*(?:_[0-9]+)?\]",
     r"\[(?i:your|insert|enter|add|tbd|to be|recipient|sender|customer|client|first|last|company)\b[^\]\n]{0,40}\]",
     r"\b[Xx]{3,}(?:-[Xx]{3,})+\b",
@@ -104,6 +119,8 @@ def find_residue(records: DataFrame, id_col: str, fields: tuple[str, ...], exemp
     holds, with document frequencies counted over all fields of all records. Exemplars have at most half a window of words, so each lies
     whole in some window. A field counts from a containment of ``least``.
 
+    Placeholders are decided by the patterns of ``SLOTS`` alone: each becomes one word, the whole exemplar of its kind.
+
     Null and empty fields have no residue. Repeated ids are taken together. Only terms of the index leave their task.
     """
     spark = records.sparkSession
