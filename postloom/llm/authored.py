@@ -190,11 +190,104 @@ def train(n: int = 600, seed: int = 3) -> dict[str, float]:
     return dict(model.weights)
 
 
+#: Header blocks without quoted or indented lines after them; from there all is history, but inside brackets.
+_HEADING = re.compile(r"(?:H(?=[nNcC]?[fFmM])|[mM](?=[fF])|f(?=[fl])|F)[HnNcCfFlmM]*+(?![qiIhp])")
+_NONE = (float("-inf"), -1)
+
+
+def segment(symbols: str, weights: dict[str, float], longest: int = 14) -> list[Segment]:
+    """The best segmentation of a whole e-mail, in time proportional to its length.
+
+    Scores are those of ``SemiMarkov`` with the features of ``_whole``: as these tell of a segment's beginning and of what is in it, the best
+    beginning so far is kept for each label; only signatures, of at most ``longest`` lines, are tried at each length. Rules are absolute
+    here, as sums over a long e-mail outgrow any weight: outside brackets a header block is in history, or directly before marked lines, and
+    a bracket is in history or in a bracketed segment that is closed or goes to the end, and history begins with a header block.
+    It is assumed that a bracketed segment scores more when closed or open than otherwise.
+    """
+    n = len(symbols)
+    if not n:
+        return []
+    w = lambda f: weights.get(f, 0.0)
+    sums = {y: [0.0] for y in LABELS}
+    for y, total in sums.items():
+        own = {c: w(f"{y}:{c}") for c in set(symbols)}
+        for c in symbols:
+            total.append(total[-1] + own[c])
+    headings = {m.start() for m in _HEADING.finditer(symbols)}
+    into = {y: [(b, w(f"{b}>{y}")) for b in _NEXT if (b, y) in _PAIRS] for y in LABELS}
+    close, opened = {}, []  # end of the bracket begun at a place
+    for i, c in enumerate(symbols):
+        if c == "k":
+            opened.append(i)
+        elif c == "e" and opened:
+            close[opened.pop()] = i + 1
+    begins = lambda y, i: sum(map(w, _whole(symbols[i : i + 2], y, 0, 1 if y != "history" else min(2, n - i))))
+    best: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
+    come: list[dict[str, tuple[float, str]]] = [{} for _ in range(n)]
+    kept = dict.fromkeys(("authored", "notice", "marked", "under", "indented", "bracketed"), _NONE)  # best beginnings: score without the sum up to it, place
+    chains: list[tuple[float, int]] = [_NONE] * (n + 1)  # of closed brackets that end at a place
+    free = 0  # first place from which no rule bars a segment
+    last = (_NONE[0], -1)  # best beginning of history, which goes to the end
+
+    def put(j: int, y: str, score: float, i: int) -> None:
+        score += w(f"{y}>$") if j == n else 0.0
+        if i >= 0 and (y not in best[j] or score > best[j][y][0]):
+            best[j][y] = (score, i, come[i][y][1])
+
+    for i, c in enumerate(symbols):
+        j = i + 1
+        before = {b: x[0] for b, x in best[i].items()} if i else {"^": 0.0}
+        for y in LABELS:
+            if scores := [(before[b] + v, b) for b, v in into[y] if b in before]:
+                come[i][y] = max(scores)
+        if c in "iI" and kept["under"][1] >= 0:
+            x, at = kept["under"]
+            kept["indented"] = max(kept["indented"], (x + w("marked indented under heading"), at), key=lambda t: t[0])
+            kept["under"] = _NONE
+        for y in ("authored", "notice", "marked"):
+            if y in come[i] and c != "k":
+                where = "under" if y == "marked" and c in "hp" else y
+                kept[where] = max(kept[where], (come[i][y][0] - sums[y][i] + begins(y, i), i), key=lambda t: t[0])
+        if "bracketed" in come[i]:
+            kept["bracketed"] = max(kept["bracketed"], (come[i]["bracketed"][0] - sums["bracketed"][i] + w("history begins otherwise"), i), key=lambda t: t[0])
+        if "history" in come[i] and _whole(symbols[i : i + 2], "history", 0, min(2, n - i)) != ["history begins otherwise"]:
+            last = max(last, (come[i]["history"][0] - sums["history"][i] + begins("history", i), i), key=lambda t: t[0])
+        if i in close:
+            chain = chains[i]
+            if "bracketed" in come[i]:
+                chain = max(chain, (come[i]["bracketed"][0] - sums["bracketed"][i], i), key=lambda t: t[0])
+            chains[close[i]] = max(chains[close[i]], chain, key=lambda t: t[0])
+        if c == "k" or i in headings:
+            free = j
+            kept = dict.fromkeys(kept, _NONE)
+        for y, where in (("authored", "authored"), ("notice", "notice"), ("marked", "marked"), ("marked", "under"), ("marked", "indented"), ("bracketed", "bracketed")):
+            x, at = kept[where]
+            put(j, y, x + sums[y][j], at)
+        for at in range(max(free, j - longest), j):
+            if "signature" in come[at]:
+                put(j, "signature", come[at]["signature"][0] + sums["signature"][j] - sums["signature"][at] + begins("signature", at) + (w("signature long") if j - at > 9 else 0.0), at)
+        x, at = chains[j]  # no segment where that is _NONE
+        put(j, "bracketed", x + sums["bracketed"][j] + w("bracketed closed"), at)
+    put(n, "history", last[0] + sums["history"][n], last[1])
+    depth = 0
+    for at in range(n - 1, -1, -1):
+        depth += (symbols[at] == "k") - (symbols[at] == "e")
+        if symbols[at] == "k" and depth > 0 and "bracketed" in come[at]:  # not closed at the end
+            put(n, "bracketed", come[at]["bracketed"][0] + sums["bracketed"][n] - sums["bracketed"][at] + w("bracketed open"), at)
+    y = max(best[n], key=lambda y: best[n][y][0])
+    segments, j = [], n
+    while y != "^":
+        _, i, before = best[j][y]
+        segments.append((y, i, j))
+        j, y = i, before
+    return segments[::-1]
+
+
 class Decoder:
     """Finds the authored lines of e-mails. Sequences of cues recur, so their segmentations are kept."""
 
     def __init__(self, weights: dict[str, float], keep: int = 50_000):
-        self._model = SemiMarkov(LABELS, _PAIRS, _whole, weights, {"signature": 14})
+        self._weights = weights
         self._kept: dict[str, str] = {}
         self._keep = keep
 
@@ -205,7 +298,7 @@ class Decoder:
         if short not in self._kept:
             if len(self._kept) >= self._keep:
                 self._kept.clear()
-            self._kept[short] = "".join(label[0] * (j - i) for label, i, j in self._decode(short))
+            self._kept[short] = "".join(label[0] * (j - i) for label, i, j in segment(short, self._weights))
         labels = self._kept[short]
         if len(short) == len(symbols):
             return labels
@@ -217,10 +310,6 @@ class Decoder:
             at += k
         return "".join(out)
 
-    def _decode(self, symbols: str) -> list[Segment]:
-        """Long e-mails are cut at the first place from which all is history; the rest is one segment."""
-        return self._model.decode(symbols) if len(symbols) <= 400 else [(y, a + i, a + j) for a in range(0, len(symbols), 400) for y, i, j in self._model.decode(symbols[a : a + 400])]
-
     def authored(self, body: str) -> list[int]:
         """Numbers, from 1, of the newly written lines that are not blank."""
         lines = body.split("\n")
