@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: White space inside a mention: blanks, and at most one line end with the quote marks after it.
 _GAP = r"(?:[^\S\n]+(?:\n[ \t>|]*)?|\n[ \t>|]*)"
@@ -219,16 +219,26 @@ def train(pairs: list[tuple[str, str]], n: int = 600, seed: int = 5, rounds: int
     return names, dict(weights)
 
 
-def header_names(emails: DataFrame, bound: int = 20_000) -> list[tuple[str, str]]:
-    """Distinct (given name, surname) pairs in the sender and recipient names of at most about ``bound`` rows, taken by a hash of their id."""
-    count = emails.count()
-    rows = emails if count <= bound else emails.filter(F.pmod(F.xxhash64("email_id"), F.lit(1_000_000)) < int(1_000_000 * bound / count))
+def header_names(emails: DataFrame, most: int = 200_000, least: int = 3) -> list[tuple[str, str]]:
+    """Distinct (given name, surname) pairs in the sender and recipient names of all rows.
+
+    Above ``most`` pairs, those that ``Names`` learns the same words from: ``least`` surnames of each given name that goes with so many, and one
+    pair for each of their surnames. So what comes to the driver is bounded by the number of different names, not of people or rows.
+    """
     listed = F.regexp_extract_all(F.coalesce("x_to", F.lit("")), F.lit(r"(\p{L}[\p{L}'-]*, \p{L}[\p{L}'-]*)"), F.lit(1))
     parts = F.transform(listed, lambda p: F.struct(F.get(F.split(p, ", "), F.lit(1)).alias("given"), F.get(F.split(p, ", "), F.lit(0)).alias("surname")))
     sender = F.split(F.trim(F.coalesce("x_from", F.lit(""))), r"(?U)\s+")
     pairs = F.concat(parts, F.when(F.size(sender) == 2, F.array(F.struct(F.get(sender, F.lit(0)).alias("given"), F.get(sender, F.lit(1)).alias("surname")))).otherwise(F.array().cast("array<struct<given:string,surname:string>>")))
-    found = rows.select(F.explode(pairs).alias("p")).select("p.given", "p.surname").distinct().collect()
-    return sorted((r["given"], r["surname"]) for r in found)
+    found = emails.select(F.explode(pairs).alias("p")).select("p.given", "p.surname").distinct()
+    rows = found.limit(most + 1).collect()
+    if len(rows) > most:
+        fold = lambda c: F.translate(F.lower(c), "öüä", "oua")
+        folded = found.groupBy(fold("given").alias("g"), fold("surname").alias("s")).agg(F.min(F.struct("given", "surname")).alias("p"))
+        ranked = folded.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("s")))
+        names = ranked.filter(F.col("n") == least).select("g")
+        kept = ranked.join(names, "g", "left_semi")
+        rows = kept.filter(F.col("n") <= least).select("p.*").union(kept.groupBy("s").agg(F.min("p").alias("p")).select("p.*")).distinct().collect()
+    return sorted((r["given"], r["surname"]) for r in rows)
 
 
 def _redact(text: str, mentions: list[Candidate]) -> str:
