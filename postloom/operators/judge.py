@@ -16,18 +16,18 @@ _REPLY = f"realism int, artifacts array<string>, real string, {LABELS}"
 KINDS = ("realism_source", "realism_derived", "labels_source", "labels_derived", "pair")
 
 
-def prompts(pairs: DataFrame, longest: int = 6000) -> DataFrame:
-    """(id, kind, prompt) for ``pairs(idx, source, derived)``: realism and labels of either text, and which of both is real. The real one stands first for even idx."""
-    source, derived = (F.left(F.coalesce(c, F.lit("")), F.lit(longest)) for c in ("source", "derived"))
+def prompts(pairs: DataFrame, longest: int | None = None) -> DataFrame:
+    """(id, kind, prompt) for ``pairs(idx, source, derived)``: realism and labels of either text, and which of both is real. The real one stands first for even idx. Texts go in whole; for a model with a limit, ``longest`` gives the characters taken of each."""
+    source, derived = (t if longest is None else F.left(t, F.lit(longest)) for t in (F.coalesce(c, F.lit("")) for c in ("source", "derived")))
     first = F.col("idx") % 2 == 0
     both = F.concat(F.lit("A:\n"), F.when(first, source).otherwise(derived), F.lit("\n\nB:\n"), F.when(first, derived).otherwise(source))
     asked = (("realism_source", "Rate from 1 to 5 how real this message seems, and list artifacts, as JSON.\n", source), ("realism_derived", "Rate from 1 to 5 how real this message seems, and list artifacts, as JSON.\n", derived), ("labels_source", "Label this message as JSON.\n", source), ("labels_derived", "Label this message as JSON.\n", derived), ("pair", "Which of the two is real, A or B? Answer as JSON.\n", both))
     return pairs.select("idx", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.concat(F.lit(q), t).alias("prompt")) for k, q, t in asked))).alias("x")).select(F.concat_ws("/", "idx", "x.kind").alias("id"), "idx", "x.kind", "x.prompt")
 
 
-def judge(pairs: DataFrame, cache: DataFrame, judge_model: Rewriter | None, model: str = "judge", budget: float | None = None) -> DataFrame:
-    """(idx, kind, reply): replies as records; what can't be read is null. Answers come from the cache first, as in rewriting."""
-    asked = prompts(pairs)
+def judge(pairs: DataFrame, cache: DataFrame, judge_model: Rewriter | None, model: str = "judge", budget: float | None = None, longest: int | None = None) -> DataFrame:
+    """(idx, kind, reply): replies as records; what can't be read is null. Answers come from the cache first, as in rewriting. ``longest`` as in ``prompts``."""
+    asked = prompts(pairs, longest)
     answers, _ = answer(asked.select("id", "prompt"), cache, judge_model, model, budget)
     return asked.select("id", "idx", "kind").join(answers, "id").select("idx", "kind", json_object(F.col("text"), _REPLY).alias("reply"))
 
