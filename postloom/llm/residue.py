@@ -103,36 +103,48 @@ def _words(c: Column) -> Column:
 
 
 def _terms(words: Column) -> Column:
-    """(term, at): words and pairs of neighbouring words, with their place."""
-    once = lambda w: F.concat(
-        F.transform(w, lambda x, i: F.struct(x.alias("term"), i.alias("at"))),
-        F.transform(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda x, i: F.struct(F.concat_ws(" ", F.get(w, i), x).alias("term"), i.alias("at"))),
-    )
-    return F.element_at(F.transform(F.array(words), once), 1)
+    """(words, pairs of neighbouring words)."""
+    return F.struct(words.alias("words"), F.transform(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda x, i: F.concat_ws(" ", F.get(words, i), x)).alias("pairs"))
 
 
 def find_residue(records: DataFrame, id_col: str, fields: tuple[str, ...], exemplars: dict[str, tuple[str, ...]] = EXEMPLARS, window: int = 32, least: float = 0.8) -> DataFrame:
     """(id, field, kind, exemplar, containment): for each field with residue its best exemplar.
 
-    The exemplars' terms (pairs of neighbouring words, or the word of a one-word exemplar) form an inverted index. Terms of a field that stand in the index retrieve exemplars for
+    The exemplars' terms (words and pairs of neighbouring words) form an inverted index. Terms of a field that stand in the index retrieve exemplars for
     each window of ``window`` words, laid every half window; the containment is the share of the exemplar's TF-IDF weight that the window
     holds, with document frequencies counted over all fields of all records. Exemplars have at most half a window of words, so each lies
     whole in some window. A field counts from a containment of ``least``.
 
+    An exemplar of several words has at least as much weight in pairs as in all of its words but the lightest, as a pair is as rare as either word;
+    so without a pair its containment is 2/3 at most, and above that only windows with a pair are looked at.
+
     Placeholders are decided by the patterns of ``SLOTS`` alone: each becomes one word, the whole exemplar of its kind.
 
     Null and empty fields have no residue. Repeated ids are taken together. Only terms of the index leave their task.
     """
     spark = records.sparkSession
     listed = [(k, i, e) for i, (k, e) in enumerate((k, e) for k, es in exemplars.items() for e in es)]
-    index = spark.createDataFrame(listed, "kind string, exemplar int, text string").select("kind", "exemplar", F.size(_words(F.col("text"))).alias("n"), F.explode(F.array_distinct(F.transform(_terms(_words(F.col("text"))), lambda t: t["term"]))).alias("term")).filter(F.contains("term", F.lit(" ")) | (F.col("n") == 1)).drop("n")
+    split = spark.createDataFrame(listed, "kind string, exemplar int, text string").select("kind", "exemplar", _words(F.col("text")).alias("words")).select("kind", "exemplar", F.array_distinct("words").alias("words"), F.array_distinct(_terms(F.col("words"))["pairs"]).alias("pairs")).collect()  # small
+    index = spark.createDataFrame([(r["kind"], r["exemplar"], t) for r in split for t in (*r["words"], *r["pairs"])], "kind string, exemplar int, term string")
+    literal = lambda terms: F.array(*map(F.lit, sorted(terms))).cast("array<string>")
+    words, pairs = literal({t for r in split for t in r["words"]}), literal({t for r in split for t in r["pairs"]})
+    telling = literal({t for r in split for t in (r["pairs"] or r["words"] if least > 2 / 3 else (*r["words"], *r["pairs"]))})  # each window must hold one
+    half = window // 2
     ids = F.col(id_col).cast("long")
     long = records.select(ids.alias("id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("f")).select("id", "f.field", "f.text").filter("id is not null and text is not null and text <> ''")
-    terms = long.select("id", "field", F.explode(_terms(_words(F.col("text")))).alias("t")).select("id", "field", "t.term", "t.at").join(F.broadcast(index.select("term").distinct()), "term", "left_semi")
-    half = window // 2
-    windows = terms.select("id", "field", "term", F.explode(F.array(F.floor(F.col("at") / half), F.floor(F.col("at") / half) - 1)).alias("window")).distinct()
+
+    def held(terms: Column) -> Column:
+        # (window, terms) of the windows that hold a telling term.
+        laid = F.transform(F.sequence(F.lit(-1), F.floor(F.size(terms["words"]) / half).cast("int")), lambda k: F.struct(k.alias("window"), *(F.slice(terms[x], F.greatest(k * half, F.lit(0)) + 1, F.when(k < 0, half).otherwise(window)).alias(x) for x in ("words", "pairs"))))
+        return F.transform(F.filter(laid, lambda w: F.arrays_overlap(w["pairs"], telling) | F.arrays_overlap(w["words"], telling)), lambda w: F.struct(w["window"].alias("window"), indexed(w).alias("terms")))
+
+    indexed = lambda terms: F.concat(F.array_intersect(terms["words"], words), F.array_intersect(terms["pairs"], pairs))
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
+    # explode_outer, as the filter inferred for explode would do all the work twice. One shuffle of whole windows serves all steps up to the scores.
+    rows = lambda f: long.select("id", "field", F.explode_outer(once(_words(F.col("text")), lambda w: once(_terms(w), f))).alias("x")).filter("x is not null")
+    windows = rows(held).select("id", "field", "x.window", "x.terms").repartition("id", "field", "window").select("id", "field", "window", F.explode("terms").alias("term")).distinct()
     n = long.agg(F.count("*").alias("n"))
-    frequency = terms.select("id", "field", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    frequency = rows(indexed).select("id", "field", F.col("x").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
     weights = index.join(frequency, "term", "left").join(F.broadcast(n)).select("kind", "exemplar", "term", F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)).alias("w"))  # n is one row
     whole = weights.groupBy("exemplar").agg((F.sum("w") + 1e-9).alias("whole"))
     scored = windows.join(F.broadcast(weights), "term").groupBy("id", "field", "window", "kind", "exemplar").agg((F.sum("w") + 1e-9).alias("held")).join(F.broadcast(whole), "exemplar").withColumn("containment", F.col("held") / F.col("whole"))

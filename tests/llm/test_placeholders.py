@@ -15,3 +15,8 @@ def test_placeholders_in_any_delimiter(spark):
     found = {(r["id"], r["field"]): r["kind"] for r in find_residue(df, "syn_id", ("body", "quoted")).collect()}
     assert found == {(k, "body"): "placeholder" for k in range(len(SLOTS))} | {(100 + k, "quoted"): "placeholder" for k in range(len(SLOTS))}
     assert sorted(r["syn_id"] for r in exclude_residue(df, "syn_id", ("body", "quoted")).collect()) == [200 + k for k in range(len(REAL))]
+
+
+def test_inserted_word(spark):
+    df = spark.createDataFrame([(1, "This site can't currently be reached", "")] + [(k, f"Mail {k} about the plan, as agreed.", "") for k in range(2, 60)], "syn_id long, body string, quoted string")
+    assert [(r["id"], r["kind"]) for r in find_residue(df, "syn_id", ("body", "quoted")).collect()] == [(1, "error page")]
