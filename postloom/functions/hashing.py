@@ -32,3 +32,19 @@ def hash_digits(digest: Column, form: str) -> Column:
 def sample_order(key: Column, seed: int) -> Column:
     """An order that only depends on the key and the seed."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
+
+
+def digest_mod(digest: Column, n: int | Column, part: int = 0) -> Column:
+    """Eight hex digits of a digest, those of number ``part``, modulo n: fits in 64 bits, so no fold over digits is needed."""
+    return F.conv(F.substr(digest, F.lit(8 * part + 1), F.lit(8)), 16, 10).cast("bigint") % (F.lit(n) if isinstance(n, int) else n)
+
+
+def digits_like(digest: Column, like: Column) -> Column:
+    """``like`` with each of its digits replaced by one that follows from the digest; the first is never 0, all else stays."""
+
+    def one(c: Column, i: Column) -> Column:
+        at = F.pmod(i, F.lit(60)).cast("int") + 1
+        d = F.conv(F.substr(digest, at, F.lit(4)), 16, 10).cast("int")
+        return F.when(c.rlike("[0-9]"), F.when(i == 0, d % 9 + 1).otherwise(d % 10).cast("string")).otherwise(c)
+
+    return F.array_join(F.transform(F.split(like, ""), one), "")

@@ -91,18 +91,17 @@ def normalised(c: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
     """(query, id, cosine, rank): each query's ``k`` nearest other vectors, exactly; ties by id.
 
-    The stated queries go to the tasks in blocks of ``block`` vectors, and each task keeps the best k of its rows per query with a matrix
+    The stated queries go to the tasks in blocks of about ``block`` vectors, and each task keeps the best k of its rows per query with a matrix
     product, so only k rows a task and query are shuffled. Null and zero vectors are near nothing.
     """
     import numpy as np
     import pandas as pd
 
-    rows = queries.select("id", "vector").filter("id is not null and vector is not null").orderBy("id")
-    n = rows.count()
-    numbered = rows.withColumn("_no", F.row_number().over(Window.orderBy("id")) - 1) if n > block else rows.withColumn("_no", F.lit(0))
+    rows = queries.select("id", "vector").filter("id is not null and vector is not null")
+    blocks = max(1, math.ceil(rows.count() / block))
     found = None
-    for b in range(max(1, math.ceil(n / block))):
-        own = numbered.filter((F.col("_no") >= b * block) & (F.col("_no") < (b + 1) * block)).select("id", "vector").collect()
+    for b in range(blocks):  # by hash, so blocks are of about the same size and no task sees all queries
+        own = rows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
         ids, matrix = np.array([r["id"] for r in own], dtype=np.int64), np.array([r["vector"] for r in own], dtype=np.float64)
 
         def best(batches, ids=ids, matrix=matrix):
@@ -138,21 +137,169 @@ def mean_similarity(vectors: DataFrame, by: str) -> DataFrame:
     return summed.groupBy(by).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q")).filter("n > 1").select(by, "n", F.round((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("mean_cosine"))
 
 
-def form_auc(features: DataFrame, label: str, key: str, folds: int = 5, c: float = 0.5, seed: int = 0) -> DataFrame:
-    """Mean and spread of the area under the curve of a logistic model on form features, over ``folds`` hash folds."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+def form_auc(features: DataFrame, label: str, key: str, folds: int = 5, repeats: int = 10, c: float = 0.5, seed: int = 0, steps: int = 12, bins: int = 10_000) -> DataFrame:
+    """(auc, spread, n): mean and spread of the area under the curve of a logistic model on standardised form features, over ``repeats`` times ``folds`` hash folds.
+
+    The models (L2, weight ``c`` of the data) are fitted together by Newton steps: each step is one pass in which every task adds up the
+    gradients and second derivatives of all models, so the driver sees some numbers per model only. Areas are taken over ``bins`` bins of the scores.
+    Without rows of both labels in a fold's test part the fold is left out.
+    """
+    import numpy as np
+    import pandas as pd
 
     names = [x for x in features.columns if x not in (label, key)]
-    data = VectorAssembler(inputCols=names, outputCol="raw").transform(features.withColumn("label", F.col(label).cast("double"))).withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds))).select("label", "raw", "fold").persist()
+    m, p = repeats * folds, len(names) + 1
+    split = F.array(*(F.pmod(F.xxhash64(key, F.lit(seed + r)), F.lit(folds)).cast("int") for r in range(repeats)))
+    data = features.select(F.array(*(F.col(x).cast("double") for x in names)).alias("x"), F.col(label).cast("double").alias("y"), split.alias("f")).persist()
     n = data.count()
-    scores = []
-    for k in range(folds):
-        train, test = data.filter(F.col("fold") != k), data.filter(F.col("fold") == k)
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        model = LogisticRegression(regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=200).fit(scaler.transform(train))
-        scores.append(BinaryClassificationEvaluator().evaluate(model.transform(scaler.transform(test))))
+
+    def arrays(df: pd.DataFrame) -> tuple:
+        return np.column_stack([np.ones(len(df)), np.array(df["x"].tolist())]), df["y"].to_numpy(), np.array(df["f"].tolist())
+
+    def added(work, width: int) -> np.ndarray:
+        """Sums over all rows of what ``work(x, y, f, model)`` gives for each model."""
+
+        def run(batches):
+            total = np.zeros((m, width))
+            for df in batches:
+                if len(df):
+                    x, y, f = arrays(df)
+                    for k in range(m):
+                        total[k] += work(x, y, f[:, k // folds] == k % folds, k)
+            yield pd.DataFrame({"model": range(m), "v": total.tolist()})
+
+        def merge(batches):
+            sums: dict[int, np.ndarray] = {}
+            for df in batches:
+                for k, v in zip(df["model"], df["v"]):
+                    sums[k] = sums[k] + v if k in sums else np.array(v)
+            if sums:
+                yield pd.DataFrame({"model": list(sums), "v": [v.tolist() for v in sums.values()]})
+
+        schema = "model int, v array<double>"
+        rows = data.mapInPandas(run, schema).repartition(min(m, 8), "model").mapInPandas(merge, schema).collect()  # one row for each model
+        out = np.zeros((m, width))
+        for r in rows:
+            out[r["model"]] = r["v"]
+        return out
+
+    sums = added(lambda x, y, test, k: np.concatenate([[np.sum(~test)], x[~test].sum(axis=0), (x[~test] ** 2).sum(axis=0)]), 1 + 2 * p)
+    count = np.maximum(sums[:, :1], 1)
+    mean = sums[:, 1 : 1 + p] / count
+    scale = np.sqrt(np.maximum(sums[:, 1 + p :] / count - mean**2, 0))
+    mean[:, 0], scale[:, 0] = 0, 1
+    scale[scale < 1e-12] = 1
+    w = np.zeros((m, p))
+    ridge = np.eye(p)
+    ridge[0, 0] = 1e-9
+
+    def derivatives(x, y, test, k, mean=mean, scale=scale):
+        z = (x[~test] - mean[k]) / scale[k]
+        q = 1 / (1 + np.exp(-np.clip(z @ w[k], -30, 30)))
+        return np.concatenate([z.T @ (q - y[~test]), ((z * (q * (1 - q))[:, None]).T @ z).ravel()])
+
+    for _ in range(steps):
+        d = added(derivatives, p + p * p)
+        moves = np.array([np.linalg.solve(c * d[k, p:].reshape(p, p) + ridge, c * d[k, :p] + ridge @ w[k]) for k in range(m)])
+        w -= moves
+        if np.abs(moves).max() < 1e-6:
+            break
+
+    def score(batches):
+        for df in batches:
+            if len(df):
+                x, y, f = arrays(df)
+                parts = []
+                for k in range(m):
+                    test = f[:, k // folds] == k % folds
+                    q = 1 / (1 + np.exp(-np.clip(((x[test] - mean[k]) / scale[k]) @ w[k], -30, 30)))
+                    parts.append(pd.DataFrame({"model": k, "bin": (q * bins).astype(int), "pos": y[test], "neg": 1 - y[test]}).groupby(["model", "bin"], as_index=False).sum())
+                yield pd.concat(parts)
+
+    by_bin = data.mapInPandas(score, "model int, bin int, pos double, neg double").groupBy("model", "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    below = Window.partitionBy("model").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows of a model
+    pairs = by_bin.withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0.0))).groupBy("model").agg(F.try_divide(F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
+    out = pairs.agg(F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("spread")).first()
     data.unpersist()
-    mean = sum(scores) / folds
-    return features.sparkSession.createDataFrame([(mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / folds), n)], "auc double, spread double, n long")
+    return features.sparkSession.createDataFrame([(out["auc"], out["spread"], n)], "auc double, spread double, n long")
+
+
+def markers(company: str, internal_domain: str) -> dict[str, str]:
+    """Patterns of what tells the source corpus wherever it stands, by name: its firm and domain, routes of an old mail system, encoded addresses, mailto marks."""
+    domain = internal_domain.replace(".", r"\.")
+    return {"company": f"(?i){company}", "domain": f"(?i){domain}", "route": r"/[A-Z]{2,5}/[A-Z]{2,5}(?:@[A-Za-z]+)?", "encoded": "IMCEA[A-Z]+-", "mailto": r"(?i)\[mailto:"}
+
+
+def privacy(pairs: DataFrame, key: str, names: DataFrame, found: dict[str, str]) -> DataFrame:
+    """Per row of ``pairs(key, source, derived, raw, terms, own)``: which ``terms`` of the source are left in ``raw``, copying in 8-grams, markers, corpus people named, placeholders, and whether anything leaked.
+
+    ``names(name)`` are full names of the corpus's people; those whose words all stand in ``own`` (the derived headers) don't count. They are
+    joined on pairs of neighbouring words, so no text meets all of them.
+    """
+    from postloom.operators import redact
+
+    words = text.tokens(F.coalesce("own", F.lit("")))
+    hits = redact.name_hits(pairs.select(F.col(key).alias("doc"), F.col("raw").alias("text")), names).join(pairs.select(F.col(key).alias("doc"), words.alias("own")), "doc")
+    strange = hits.filter(F.size(F.array_except(F.split("name", " "), "own")) > 0).groupBy(F.col("doc").alias(key)).agg(F.count("*").alias("n_names"))
+    seen = F.array_compact(F.array(*(F.when(F.coalesce("raw", F.lit("")).rlike(p), k) for k, p in found.items())))
+    rows = pairs.withColumns({"leaks": redact.leaks(F.col("raw"), F.col("terms")), "copy8": F.round(copy_ratio(F.col("derived"), F.col("source")), 6), "markers": seen, "placeholder_left": F.coalesce(F.col("raw").rlike(redact.PLACEHOLDER), F.lit(False))})
+    n = F.coalesce("n_names", F.lit(0))
+    return rows.join(strange, key, "left").withColumn("n_names", n).withColumn("any_leak", (F.size("leaks") > 0) | (F.size("markers") > 0) | (n > 0)).drop("source", "derived", "raw", "terms", "own")
+
+
+_NAMED = (
+    (r"(\p{Lu}[\p{L}'.-]+)(?:\s+\p{Lu}\.?)?\s+(\p{Lu}[\p{L}'-]+)\s*/\s*\p{Lu}", 1, 2),
+    (r"(?m)^[ \t>]*(?:From|To|Cc|Sent by):[ \t]*\"?(\p{Lu}[\p{L}'-]+),\s+(\p{Lu}[\p{L}'-]+)", 2, 1),
+    (r"(?m)^[ \t>]*(?:From|To|Cc|Sent by):[ \t]*\"?(\p{Lu}[\p{L}'-]+) (\p{Lu}[\p{L}'-]+)", 1, 2),
+)
+
+
+def source_names(c: Column) -> Column:
+    """(first, last), in lower case, of the people that a text names in routes and in header lines; found by patterns of their own, not by those that scrub."""
+    c = F.coalesce(c, F.lit(""))
+    groups = [F.arrays_zip(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(a)), F.lower).alias("first"), F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(b)), F.lower).alias("last")) for p, a, b in _NAMED]
+    return F.array_sort(F.array_distinct(F.filter(F.concat(*groups), lambda n: (F.length(n["first"]) >= 3) & (F.length(n["last"]) >= 3))))
+
+
+def survivors(names: Column, derived: Column, synthetic: Column) -> Column:
+    """Which of ``names`` (see ``source_names``) a derived text still has, with or without a middle initial and over line ends; names in ``synthetic`` don't count."""
+    flat = text.collapse(F.lower(F.coalesce(derived, F.lit(""))))
+    left = lambda n: F.rlike(flat, F.concat(F.lit(r"(?<!\p{L})\Q"), n["first"], F.lit(r"\E(?: \p{L}\.?)? \Q"), n["last"], F.lit(r"\E(?!\p{L})")))
+    return F.array_sort(F.transform(F.filter(names, lambda n: left(n) & ~F.array_contains(synthetic, F.concat_ws(" ", n["first"], n["last"]))), lambda n: F.concat_ws(" ", n["first"], n["last"])))
+
+
+def pair_similarity(pairs: DataFrame, by: str) -> DataFrame:
+    """(by, n, pair_cosine, random_cosine) of ``pairs(by, a, b)``: the mean cosine of paired vectors, and of all pairs of a group's a and b, in closed form from their sums. Null and zero vectors are left out."""
+    unit = pairs.select(by, normalised(F.col("a")).alias("a"), normalised(F.col("b")).alias("b")).filter("a is not null and b is not null")
+    paired = unit.groupBy(by).agg(F.count("*").alias("n"), F.avg(dot(F.col("a"), F.col("b"))).alias("pair"))
+    sums = unit.select(by, F.posexplode(F.arrays_zip("a", "b")).alias("at", "x")).groupBy(by, "at").agg(F.sum("x.a").alias("sa"), F.sum("x.b").alias("sb"))
+    whole = sums.groupBy(by).agg(F.sum(F.col("sa") * F.col("sb")).alias("q"))
+    return paired.join(whole, by).select(by, "n", F.round("pair", 6).alias("pair_cosine"), F.round(F.col("q") / (F.col("n") * F.col("n")), 6).alias("random_cosine"))
+
+
+def embed(texts: DataFrame, cache: DataFrame, embedder, longest: int | None = None, workers: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(vectors, new) of ``texts(id, text)``: vectors of length 1 from the ``cache(text_key, vector)`` first, the rest by ``embedder``, which takes a list of texts and gives a vector for each.
+
+    The key is the SHA-1 of what is embedded, so equal texts are done once; ``longest`` gives the characters a model takes of each. Null texts have no vector.
+    """
+    import pandas as pd
+
+    from postloom.plans.lineage import cut
+
+    taken = F.col("text") if longest is None else F.left("text", F.lit(longest))
+    keyed = texts.filter("text is not null").select("id", taken.alias("text")).withColumn("text_key", F.sha1("text"))
+    missing = keyed.join(cache.select("text_key"), "text_key", "left_anti").dropDuplicates(["text_key"]).select("text_key", "text")
+
+    def run(batches):
+        for df in batches:
+            yield pd.DataFrame({"text_key": df["text_key"], "vector": [list(map(float, v)) for v in embedder(list(df["text"]))]})
+
+    new = cut(missing.repartition(workers).mapInPandas(run, "text_key string, vector array<double>"))
+    known = cache.select("text_key", F.col("vector").cast("array<double>").alias("vector")).unionByName(new)
+    return keyed.join(known, "text_key").select("id", "text_key", normalised(F.col("vector")).alias("vector")), new
+
+
+def macro_mean(*rates: str) -> Column:
+    """The mean of the rates that aren't null."""
+    listed = F.array_compact(F.array(*(F.col(r) for r in rates)))
+    return F.try_divide(F.aggregate(listed, F.lit(0.0), lambda s, x: s + x), F.size(listed))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from postloom.functions.hashing import hash_digits, hex_mod, keyed
+from postloom.functions.hashing import digest_mod, hash_digits, hex_mod, keyed
+from postloom.functions.text import ascii_fold
 
 SALT = "loom-1"
 # Invented pools of names, titles and number forms. They define the surrogates.
@@ -15,7 +16,7 @@ FIRST = {
 }
 LAST = ("Alder", "Birch", "Calloway", "Draper", "Ellery", "Farrow", "Garland", "Hollis", "Ivers", "Jessop", "Keaton", "Lowell", "Marlow", "Norwood", "Oakes", "Penrose", "Quimby", "Rowan", "Sayer", "Thorne", "Underhill", "Vance", "Whitlock", "Yardley")
 TITLES = ("Analyst", "Senior Analyst", "Manager", "Director", "Coordinator", "Specialist", "Associate", "Counsel", "Planner", "Controller")
-PHONES = {"en_US": ("(555) 010-####", "555-010-####"), "en_GB": ("+44 1632 96####", "+44 20 7946 0###"), "de_DE": ("+49 30 2312 5###",), "fr_FR": ("+33 1 99 00 ## ##",), "en_IN": ("+91 98### #####",), "pt_BR": ("+55 11 9#### ####",)}
+PHONES = {"en_US": ("(555) 010-####", "555-010-####"), "en_GB": ("+44 1632 96####", "+44 20 7946 0###"), "de_DE": ("+49 30 2312 5###",), "fr_FR": ("+33 1 99 00 ## ##",), "en_IN": ("+91 40 5550 ####",), "pt_BR": ("+55 21 5550-####",)}
 OTHER_PHONE = ("+99 ### ### ###",)
 #: Short forms of given names.
 NICKNAMES = {"bill": "william", "bob": "robert", "kate": "katherine", "liz": "elizabeth", "mike": "michael", "tom": "thomas", "vic": "viktor", "theo": "theodor", "flo": "flora", "gus": "gustav", "mat": "matilda", "nico": "nicolas"}
@@ -23,10 +24,6 @@ NICKNAMES = {"bill": "william", "bob": "robert", "kate": "katherine", "liz": "el
 TARGET_YEAR = 2024
 
 
-def _pick(pool: tuple[str, ...], digest: Column) -> Column:
-    return F.get(F.array(*(F.lit(x) for x in pool)), hex_mod(digest, len(pool)).cast("int"))
-
-
 def clean_name(c: Column) -> Column:
     """A display name as "First Last": without address and routing suffix, "Last, First" turned, words in capitals recased. Null gives empty."""
     s = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]*>", ""), r"/[A-Z][A-Za-z]*(/[A-Za-z]+)*(@[A-Za-z]+)?", "")
@@ -74,17 +71,16 @@ def personas(identities: DataFrame, genders: DataFrame | None = None, salt: str
     else:
         people = people.withColumn("gender", F.lit("u"))
     gender = F.coalesce("gender", F.lit("u"))
-    seed = keyed(F.col("profile_id"), F.col("identity"), salt=salt)
-    part = lambda what: F.sha2(F.concat_ws("|", F.col("seed"), F.lit(what)), 256)
-    first = F.when(gender == "f", _pick(FIRST["f"], part("first"))).when(gender == "m", _pick(FIRST["m"], part("first"))).otherwise(_pick(FIRST["u"], part("first")))
+    pool = lambda names, k: F.get(F.array(*map(F.lit, names)), digest_mod(F.col("seed"), len(names), k).cast("int"))
+    seeded = people.withColumn("seed", keyed(F.col("profile_id"), F.col("identity"), salt=salt))
+    first = F.when(gender == "f", pool(FIRST["f"], 0)).when(gender == "m", pool(FIRST["m"], 0)).otherwise(pool(FIRST["u"], 0))
+    digits = F.sha2(F.col("seed"), 256)
     phone = F.lit(None).cast("string")
     for locale, forms in PHONES.items():
-        picked = hex_mod(part("form"), len(forms))
         for k, form in enumerate(forms):
-            phone = F.when((F.col("locale") == locale) & (picked == k), hash_digits(part("phone"), form)).otherwise(phone)
-    made = people.withColumn("seed", seed).withColumns({"first": first, "last": _pick(LAST, part("last")), "title": _pick(TITLES, part("title")), "phone": F.coalesce(phone, hash_digits(part("phone"), OTHER_PHONE[0]))})
-    base = F.lower(F.concat_ws(".", "first", "last"))
-    ranked = made.withColumn("base", base).withColumn("k", F.row_number().over(Window.partitionBy("profile_id", "base").orderBy("identity")))
+            phone = F.when((F.col("locale") == locale) & (digest_mod(F.col("seed"), len(forms), 4) == k), hash_digits(F.col("digits"), form)).otherwise(phone)
+    made = seeded.withColumns({"first": first, "last": pool(LAST, 1), "title": pool(TITLES, 2), "digits": digits}).withColumn("phone", F.coalesce(phone, hash_digits(F.col("digits"), OTHER_PHONE[0])))
+    ranked = made.withColumn("base", F.lower(F.regexp_replace(ascii_fold(F.concat_ws(".", "first", "last")), r"[^A-Za-z0-9.]", ""))).withColumn("k", F.row_number().over(Window.partitionBy("profile_id", "base").orderBy("identity")))
     return ranked.select("profile_id", "identity", "first", "last", "title", "phone", F.concat(F.col("base"), F.when(F.col("k") > 1, F.col("k").cast("string")).otherwise(F.lit("")), F.lit("@"), F.col("domain")).alias("email"))
 
 
@@ -105,6 +101,27 @@ def shift_dates(emails: DataFrame, owner: Column, salt: str = SALT) -> DataFrame
     return emails.withColumn("shift_days", days).withColumn("shifted", F.timestamp_add("DAY", days, local))
 
 
+#: The wall clock of messages without a readable date.
+DEFAULT_DATE = "2001-06-01 10:00:00"
+
+
+def new_date(local: Column, days: Column, tz: Column) -> Column:
+    """RFC-2822 date of the moved wall clock in the target's zone; without a readable date that of ``DEFAULT_DATE``. A null or unknown zone is UTC."""
+    wall = F.coalesce(F.timestamp_add("DAY", days, local), F.lit(DEFAULT_DATE).cast("timestamp"))
+    zone = F.coalesce(tz, F.lit("UTC"))
+    offset = ((F.unix_timestamp(wall) - F.unix_timestamp(F.to_utc_timestamp(wall, zone))) / 60).cast("int")
+    sign = F.when(offset < 0, "-").otherwise("+")
+    hours = F.lpad(F.floor(F.abs(offset) / 60).cast("string"), 2, "0")
+    return F.concat(F.date_format(wall, "EEE, dd MMM yyyy HH:mm:ss "), sign, hours, F.lpad((F.abs(offset) % 60).cast("string"), 2, "0"))
+
+
+def gender_lexicon(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(first, gender) of given names: a CSV of that form, or the names whose gender the pools of surrogates tell."""
+    if path is not None:
+        return spark.read.option("header", True).schema("first string, gender string").csv(path)
+    return spark.createDataFrame([(x.lower(), g) for g in ("f", "m") for x in FIRST[g]], "first string, gender string")
+
+
 def message_id(source: Column, domain: Column, salt: str = SALT) -> Column:
     digest = F.md5(F.concat_ws("|", source, domain, F.lit(salt)))
     number = F.lpad((F.conv(F.substr(digest, F.lit(17), F.lit(8)), 16, 10).cast("bigint") % 100000).cast("string"), 5, "0")

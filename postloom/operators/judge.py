@@ -25,10 +25,10 @@ def prompts(pairs: DataFrame, longest: int | None = None) -> DataFrame:
     return pairs.select("idx", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.concat(F.lit(q), t).alias("prompt")) for k, q, t in asked))).alias("x")).select(F.concat_ws("/", "idx", "x.kind").alias("id"), "idx", "x.kind", "x.prompt")
 
 
-def judge(pairs: DataFrame, cache: DataFrame, judge_model: Rewriter | None, model: str = "judge", budget: float | None = None, longest: int | None = None) -> DataFrame:
-    """(idx, kind, reply): replies as records; what can't be read is null. Answers come from the cache first, as in rewriting. ``longest`` as in ``prompts``."""
+def judge(pairs: DataFrame, cache: DataFrame, judge_model: Rewriter | None, model: str = "judge", budget: float | None = None, longest: int | None = None, cache_path: str | None = None) -> DataFrame:
+    """(idx, kind, reply): replies as records; what can't be read is null. Answers come from the cache first, as in rewriting, and new ones are added at ``cache_path``. ``longest`` as in ``prompts``."""
     asked = prompts(pairs, longest)
-    answers, _ = answer(asked.select("id", "prompt"), cache, judge_model, model, budget)
+    answers, _ = answer(asked.select("id", "prompt"), cache, judge_model, model, budget, cache_path=cache_path)
     return asked.select("id", "idx", "kind").join(answers, "id").select("idx", "kind", json_object(F.col("text"), _REPLY).alias("reply"))
 
 

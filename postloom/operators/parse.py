@@ -14,9 +14,8 @@ _SCHEMA = "file string, message_id string, date string, from_addr string, to_add
 
 
 def header(head: Column, name: str) -> Column:
-    """A header's value with its folded lines joined by blanks; empty where it is missing."""
-    found = F.regexp_extract(head, rf"(?dim)^{name}:[ \t]*(.*(?:\n[ \t]+.*)*)", 1)
-    return F.btrim(F.regexp_replace(found, r"\n[ \t]+", " "), F.lit(" \t"))
+    """A header's value in a head whose folded lines are joined; empty where it is missing."""
+    return F.btrim(F.regexp_extract(head, rf"(?dim)^{name}:([^\n]*)", 1), F.lit(" \t"))
 
 
 def address_list(value: Column) -> Column:
@@ -39,7 +38,7 @@ def parse_messages(raw: DataFrame) -> DataFrame:
     Line ends are made one kind; the head ends at the first blank line. A null message gives empty fields.
     """
     unified = raw.select("file", F.regexp_replace(F.coalesce("message", F.lit("")), r"\r\n?", "\n").alias("m"))
-    parts = unified.select("file", F.split("m", "\n\n", 2).alias("p")).select("file", F.get("p", F.lit(0)).alias("head"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("raw_body"))
+    parts = unified.select("file", F.split("m", "\n\n", 2).alias("p")).select("file", F.regexp_replace(F.get("p", F.lit(0)), r"\n[ \t]+", " ").alias("head"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("raw_body"))
     head = F.col("head")
     return parts.select(
         "file",
@@ -85,11 +84,12 @@ def parse_exact(raw: DataFrame) -> DataFrame:
     return parsed.withColumn("body", mail.split_trailer(F.col("raw_body"))).withColumn("trailer", mail.split_trailer(F.col("raw_body"), "trailer"))
 
 
-def render(df: DataFrame) -> DataFrame:
-    """RFC-822-like text of parsed messages; lines of empty fields are left out."""
+def render(df: DataFrame, names: bool = False) -> DataFrame:
+    """RFC-822-like text of parsed messages; lines of empty fields are left out. With ``names`` the sender's display name stands before the address."""
     line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
     addresses = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", ")
-    head = F.concat_ws("\n", line("From", F.col("from_addr")), line("To", addresses("to_addrs")), line("Cc", addresses("cc_addrs")), line("Subject", F.col("subject")), line("Date", F.col("date")))
+    sender = F.when(F.coalesce("x_from", F.lit("")) != "", F.concat("x_from", F.lit(" <"), "from_addr", F.lit(">"))).otherwise(F.col("from_addr")) if names else F.col("from_addr")
+    head = F.concat_ws("\n", line("From", sender), line("To", addresses("to_addrs")), line("Cc", addresses("cc_addrs")), line("Subject", F.col("subject")), line("Date", F.col("date")))
     rest = F.concat_ws("\n\n", F.nullif(F.col("body"), F.lit("")), F.nullif(F.col("trailer"), F.lit("")))
     return df.select("email_id", F.concat(head, F.lit("\n\n"), rest).alias("text"))
 

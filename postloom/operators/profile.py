@@ -84,8 +84,8 @@ def summarize(features: DataFrame, by: str | None = "folder_type") -> DataFrame:
     return features.groupBy(by).agg(*aggregates) if by else features.agg(*aggregates)
 
 
-def structure(df: DataFrame, key: str, body: str = "body", trailer: str = "trailer") -> DataFrame:
-    """Structural features for comparing a message with its rewritten form. Null texts count as empty."""
+def structure(df: DataFrame, key: str, body: str = "body", trailer: str = "trailer", to: Column | None = None, cc: Column | None = None) -> DataFrame:
+    """13 structural features for comparing a message with its rewritten form. Null texts and lists count as empty; ``to`` and ``cc`` are the numbers of recipients."""
     b = text.strip(F.coalesce(body, F.lit("")))
     t = F.coalesce(trailer, F.lit(""))
     return df.select(
@@ -99,6 +99,10 @@ def structure(df: DataFrame, key: str, body: str = "body", trailer: str = "trail
         ((F.lower(b) == b) & (F.length(b) > 20)).alias("all_lower"),
         _has(b, r"https?://|www\.").alias("has_url"),
         _has(b, r"(?Ui)\battach").alias("mentions_attachment"),
+        _starts(F.col("subject"), "re:").alias("is_re"),
+        _starts(F.col("subject"), "fw:", "fwd:").alias("is_fw"),
+        (F.greatest(F.size("to_addrs"), F.lit(0)) if to is None else to).alias("n_to"),
+        (F.greatest(F.size("cc_addrs"), F.lit(0)) if cc is None else cc).alias("n_cc"),
     )
 
 

@@ -3,135 +3,97 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postloom.functions import text as tx
 from postloom.operators import identity
+from postloom.operators.dates import numeric_date
 
 #: Kinds of spans, in the order in which they are tried at one place.
 SPANS = (
     ("EMAIL", r"[A-Za-z0-9_.+'-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+"),
     ("URL", r"https?://[^\s]+|www\.[^\s]+"),
-    ("SSN", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("PHONE", r"(?<![0-9.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"),
-    ("DATE", r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2})(?![0-9/])"),
-    ("NUMBER", r"(?<![0-9])[0-9]{7,}(?![0-9])"),
+    ("SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
+    ("PHONE", r"(?:\([0-9]{3}\) ?|\b[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}\b"),
+    ("DATE", r"\b[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2})\b"),
+    ("NUMBER", r"[0-9]{7,}"),
 )
-_ALL = "|".join(f"(?:{p})" for _, p in SPANS)
-#: Plain text is taken in long runs of words and marks that can't begin a span, else by single characters.
-_SPLIT = rf"(?s)({_ALL}|(?:[A-Za-z]++(?=[\s,;!?]|$|\.(?:\s|$))|\.(?=\s|$)|[^A-Za-z0-9_.+'(-]++)++|.)"
+ANY_SPAN = "|".join(f"(?:{p})" for _, p in SPANS)
+#: Fixed value: a date written month, day, year with one separator.
+NUMERIC_DATE = r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b|\b[0-9]{1,2}-[0-9]{1,2}-[0-9]{2,4}\b"
 PLACEHOLDER = r"\[(?:COMPANY|ORG_\d+|LOC_\d+|UNIT_\d+)\]"
 
 
-def redact_contacts(c: Column, only: tuple[str, ...] | None = None) -> Column:
-    """The text with typed placeholders for its spans, replaced in one pass: text put in is never matched again. Null stays null.
-
-    The text is cut losslessly into spans and plain pieces, each piece is told apart by its whole shape, and they are joined again.
-    """
-    piece = lambda x: F.when(F.length(x) > 1, _replace(x, only)).otherwise(x)
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_SPLIT), F.lit(1)), piece), "")
-
-
-def _replace(x: Column, only: tuple[str, ...] | None) -> Column:
+def _kind(span: Column) -> Column:
     out = None
     for kind, pattern in SPANS:
-        if only is None or kind in only:
-            bare = re.sub(r"\(\?<?!\[[^\]]*\]\)", "", pattern)
-            found = x.rlike(rf"^(?:{bare})$")
-            out = F.when(found, f"[{kind}]") if out is None else out.when(found, f"[{kind}]")
-    return out.otherwise(x) if out is not None else x
+        found = span.rlike(f"^(?:{pattern})$")
+        out = F.when(found, kind) if out is None else out.when(found, kind)
+    return out
 
 
-def span_counts(c: Column) -> Column:
-    """How many spans of each kind the text has, as a map without zeros."""
-    pieces = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({_ALL})"), F.lit(1))
-    kinds = F.transform(pieces, lambda x: F.regexp_extract(_replace(x, None), r"^\[(\w+)\]$", 1))
-
-    def counts(found: Column) -> Column:
-        number = lambda kind: F.size(F.filter(found, lambda y: y == kind))
-        return F.create_map(*(x for kind, _ in SPANS for x in (F.lit(kind), number(kind))))
-
-    return F.map_filter(F.get(F.transform(F.array(kinds), counts), F.lit(0)), lambda _, n: n > 0)
+def redact_contacts(c: Column, only: tuple[str, ...] | None = None) -> Column:
+    """The text with typed placeholders for its spans, replaced in one pass: text put in is never matched again. Null stays null."""
+    if only is not None:
+        out = c
+        wanted = [(k, p) for k, p in SPANS if k in only]
+        if len(wanted) == 1:
+            return F.regexp_replace(out, wanted[0][1], f"[{wanted[0][0]}]")
+    shown = lambda s: tx.once(_kind(s), lambda k: F.when(k.isin(*only), F.concat(F.lit("["), k, F.lit("]"))).otherwise(s) if only is not None else F.concat(F.lit("["), k, F.lit("]")))
+    return tx.rewrite_spans(c, ANY_SPAN, shown)
 
 
-def shift_numeric_dates(df: DataFrame, text: str, days: str, out: str, years: tuple[int, int] = (1990, 2035)) -> DataFrame:
-    """Moves dates written m/d/y or m-d-y by ``days``; years outside the gate and days that aren't on the calendar stay, two digits stay two digits."""
-    pattern = r"(?<![0-9/.-])([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{4}|[0-9]{2})(?![0-9/-])"
+def span_counts(c: Column) -> Column:
+    """How many spans of each kind the text has, as a map without zeros."""
+    kinds = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(ANY_SPAN), F.lit(0)), _kind)
+    return tx.once(kinds, lambda found: F.map_filter(F.create_map(*(x for kind, _ in SPANS for x in (F.lit(kind), F.size(F.filter(found, tx.equals(kind)))))), lambda _, n: n > 0))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from datetime import date, timedelta
 
-        found = re.compile(pattern)
+def shift_numeric_dates(c: Column, days: Column, years: tuple[int, int] = (1990, 2035)) -> Column:
+    """Moves dates written m/d/y or m-d-y by ``days``; years outside the gate and days that aren't on the calendar stay, two digits stay two digits. Null or zero days move nothing."""
+    return F.when(F.coalesce(days, F.lit(0)) == 0, c).otherwise(tx.rewrite_spans(c, NUMERIC_DATE, lambda s: numeric_date(s, days, years)))
 
-        def one(value: str | None, move: float) -> str | None:
-            if value is None or pd.isna(move) or not move:
-                return value
 
-            def moved(m: re.Match) -> str:
-                short = len(m[4]) == 2
-                year = int(m[4]) + (0 if not short else 1900 if int(m[4]) >= 50 else 2000)
-                try:
-                    new = date(year, int(m[1]), int(m[3])) + timedelta(days=int(move))
-                except (ValueError, OverflowError):
-                    return m[0]
-                if not years[0] <= year <= years[1]:
-                    return m[0]
-                return f"{new.month}{m[2]}{new.day}{m[2]}{new.year % 100:02d}" if short else f"{new.month}{m[2]}{new.day}{m[2]}{new.year}"
+def _forms(p: Column) -> Column:
+    """(alias, replacement) of a person (name, first, last, email, address): all forms in which a name may stand, the first one of an alias counts.
 
-            return found.sub(moved, value)
+    Full names, "Last, First", surnames of four letters and more, given names of three and more, each as written, in capitals and (names with a
+    surname) in lower case; and the address.
+    """
 
-        for pdf in batches:
-            pdf[out] = [one(v, m) for v, m in zip(pdf[text], pdf[days])]
-            yield pdf
+    def forms(words: Column) -> Column:
+        first, last = F.get(words, F.lit(0)), F.when(F.size(words) > 1, F.element_at(words, -1))
+        form = lambda alias, out, low: F.struct(alias.alias("alias"), out.alias("replacement"), F.lit(low).alias("low"))
+        listed = F.array(
+            form(F.concat_ws(" ", first, last), F.concat_ws(" ", p["first"], p["last"]), True),
+            form(F.concat(last, F.lit(", "), first), F.concat_ws(", ", p["last"], p["first"]), False),
+            form(F.when(F.length(last) >= 4, last), p["last"], True),
+            form(F.when(F.length(first) >= 3, first), p["first"], False),
+            form(p["address"], p["email"], False),
+        )
+        case = lambda x, f: F.struct(f(x["alias"]).alias("alias"), f(x["replacement"]).alias("replacement"))
+        return F.flatten(F.transform(F.filter(listed, lambda x: F.length(x["alias"]) > 1), lambda x: F.array_compact(F.array(case(x, lambda c: c), case(x, F.upper), F.when(x["low"], case(x, F.lower))))))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` string"
-    return df.mapInPandas(run, schema)
+    return tx.once(F.split(identity.clean_name(p["name"]), " "), forms)
 
 
-def aliases(people: DataFrame) -> DataFrame:
-    """(doc, alias, replacement, severity) of ``people(doc, name, first, last, email, address)``: all forms in which a name may stand.
+def rewrite_names(docs: DataFrame, people: DataFrame) -> DataFrame:
+    """(doc, text, rewritten, n_replaced): ``docs(doc, text)`` with all forms of the names of their ``people(doc, name, first, last, email, address)`` replaced in one pass, longest first.
 
-    Full names, "Last, First", surnames of four letters and more, given names of three and more, each as written, in capitals and (names with a
-    surname) in lower case; and the address. Names and surnames are hard terms, given names soft ones. The first form of an alias by (person, form) wins.
-    """
-    words = F.split(identity.clean_name(F.col("name")), " ")
-    first, last = F.get(words, F.lit(0)), F.when(F.size(words) > 1, F.element_at(words, -1))
-    form = lambda alias, repl, severity, low: F.struct(alias.alias("alias"), repl.alias("replacement"), F.lit(severity).alias("severity"), F.lit(low).alias("low"))
-    full = F.concat_ws(" ", "first", "last")
-    forms = F.array(
-        form(F.concat_ws(" ", first, last), full, "hard", True),
-        form(F.concat(last, F.lit(", "), first), F.concat_ws(", ", "last", "first"), "hard", False),
-        form(F.when(F.length(last) >= 4, last), F.col("last"), "hard", True),
-        form(F.when(F.length(first) >= 3, first), F.col("first"), "soft", False),
-        form(F.col("address"), F.col("email"), "hard", False),
-    )
-    rows = people.filter("name is not null").select("doc", F.posexplode(forms).alias("k", "f")).select("doc", "k", "f.*").filter("alias is not null and length(alias) > 1")
-    cased = rows.select("doc", "k", "severity", F.explode(F.array(F.struct("alias", "replacement"), F.struct(F.upper("alias").alias("alias"), F.upper("replacement").alias("replacement")), F.when(F.col("low"), F.struct(F.lower("alias").alias("alias"), F.lower("replacement").alias("replacement"))))).alias("c")).filter("c is not null")
-    return cased.groupBy("doc", F.col("c.alias").alias("alias")).agg(F.min(F.struct("k", F.col("c.replacement").alias("replacement"), "severity")).alias("w")).select("doc", "alias", "w.replacement", "w.severity")
-
-
-def rewrite_names(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs(doc, text)`` with the aliases of each document replaced in one pass, longest first; (doc, text, rewritten, n_replaced).
-
-    A document's aliases are gathered beside it: their number is bounded by its people, not by the corpus.
+    The people of a message are gathered beside it, their number is bounded by the message; the forms are made there, so they are never shuffled.
+    Replacing is one split of the text at an alternation of the forms.
     """
-    lists = found.groupBy("doc").agg(F.collect_list(F.struct("alias", "replacement")).alias("aliases"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(text: str | None, pairs) -> tuple[str | None, int]:
-            if not text or pairs is None or not len(pairs):
-                return text, 0
-            table = {p["alias"]: p["replacement"] for p in pairs}
-            pattern = re.compile("|".join(rf"(?<![^\W_]){re.escape(a)}(?![^\W_])" for a in sorted(table, key=lambda a: (-len(a), a))))
-            return pattern.subn(lambda m: table[m[0]], text)
-
-        for pdf in batches:
-            done = [one(t, p) for t, p in zip(pdf["text"], pdf["aliases"])]
-            yield pd.DataFrame({"doc": pdf["doc"], "text": pdf["text"], "rewritten": [d[0] for d in done], "n_replaced": [d[1] for d in done]})
-
-    return docs.select("doc", "text").join(lists, "doc", "left").mapInPandas(run, f"doc {dict(docs.dtypes)['doc']}, text string, rewritten string, n_replaced int")
+    person = F.struct("name", "first", "last", "email", "address")
+    lists = people.filter("name is not null").groupBy("doc").agg(F.array_sort(F.collect_set(person)).alias("people"))
+    formed = docs.select("doc", "text").join(lists, "doc", "left").withColumn("forms", F.flatten(F.transform("people", _forms))).drop("people")
+    longest = F.array_sort(F.array_distinct(F.transform("forms", lambda f: f["alias"])), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    quoted = F.array_join(F.transform(longest, lambda a: F.concat(F.lit("\\Q"), a, F.lit("\\E"))), "|")
+    pattern = F.when(F.size("forms") > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])")))
+    found = formed.withColumn("pattern", pattern).withColumn("spans", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
+    out = F.array_join(F.zip_with(F.split("text", F.col("pattern")), "spans", lambda plain, x: F.concat(F.coalesce(plain, F.lit("")), F.coalesce(F.get(F.filter("forms", lambda f: f["alias"] == x), F.lit(0))["replacement"], F.lit("")))), "")
+    none = F.col("pattern").isNull() | (F.coalesce(F.size("spans"), F.lit(0)) <= 0)
+    return found.select("doc", "text", F.when(none, F.col("text")).otherwise(out).alias("rewritten"), F.when(none, 0).otherwise(F.size("spans")).alias("n_replaced"))
 
 
 def leaks(text: Column, terms: Column) -> Column:
@@ -158,10 +120,26 @@ def name_hits(docs: DataFrame, names: DataFrame) -> DataFrame:
     return pairs.join(names.select("name").distinct(), "name").select("doc", "name")
 
 
-def clean_artifacts(c: Column) -> Column:
-    """Without mailto marks, routing addresses with a second @, and, where there are several, quoted-printable codes."""
-    s = F.regexp_replace(F.regexp_replace(c, r"(?i)\[?mailto:([^\]\s>]+)\]?", "$1"), r"([\w.+-]+@[\w-]+(?:\.[\w-]+)+)@[A-Za-z]+\b", "$1")
-    repaired = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"=\r?\n", ""), r"=20", " "), r"=3D", "=")
-    return F.when((F.regexp_count(s, F.lit(r"=(?:20|3D|09|\r?\n)")) >= 2) | F.contains(s, F.lit("= =")), repaired).otherwise(s)
+#: Quoted-printable codes of characters that break words.
+_CODES = {"20": " ", "09": " ", "3D": "=", "92": "'", "93": '"', "94": '"', "96": "-"}
+
+
+def repair_quoted_printable(c: Column) -> Column:
+    """Without quoted-printable codes and soft line ends, where there are at least two codes or a broken one ("= =")."""
+    code = r"=[0-9A-F]{2}"
+    table = F.create_map(*(F.lit(x) for pair in _CODES.items() for x in pair))
+    shown = lambda s: tx.once(F.upper(F.right(s, F.lit(2))), lambda k: F.coalesce(F.try_element_at(table, k), s))
+    joined = F.regexp_replace(F.regexp_replace(c, r"=[ \t]*=(?=[0-9A-Fa-f]{2})", "="), r"=\r?\n", "")
+    blank = F.regexp_replace(joined, r"(?:=(?:20|09)\s*)+", " ")
+    return F.when((F.regexp_count(c, F.lit(code)) >= 2) | F.contains(c, F.lit("= =")), tx.rewrite_spans(blank, "=[0-9A-Fa-f]{2}", shown)).otherwise(c)
 
 
+def clean_artifacts(c: Column, internal_domain: str | None = None) -> Column:
+    """Without encoded addresses in brackets, directory-style addresses, a system's name behind an address, and quoted-printable codes. Addresses in mailto marks stay as such unless they are internal."""
+    s = repair_quoted_printable(c)
+    if internal_domain is not None:
+        s = F.regexp_replace(s, rf"(?i)\s*\[mailto:[^\]]*{re.escape(internal_domain)}[^\]]*\]", "")
+    s = F.regexp_replace(s, r"(?i)\[?mailto:([^\]\s>]+)\]?", "$1")
+    s = F.regexp_replace(s, r"IMCEA[A-Z]+-[^\s\]>]+", "")
+    s = F.regexp_replace(s, r"([\w.+-]+@[\w-]+(?:\.[\w-]+)+)@[A-Za-z]+\b(?!\.)", "$1")
+    return F.regexp_replace(s, r"(<[^<>\s]+@[^<>\s]+>)@[A-Za-z]+\b(?!\.)", "$1")

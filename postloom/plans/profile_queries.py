@@ -53,13 +53,27 @@ _SUMMARY = ", ".join(
 
 _STRIPPED = sql.strip(_B)
 _STRUCTURE = f"""
-WITH t AS (SELECT email_id, {_STRIPPED} AS b, {_T} AS tr FROM parsed_emails)
+WITH t AS (SELECT email_id, {_STRIPPED} AS b, {_T} AS tr, lower({_S}) AS s, to_addrs, cc_addrs FROM parsed_emails)
 SELECT email_id, CAST({sql.words("b")} AS INTEGER) AS body_words, CAST(len(list_filter(string_split(b, chr(10)), lambda x: {sql.has("x", r"(?U)\S")})) AS INTEGER) AS n_lines,
   CAST(len(list_filter(regexp_split_to_array(b, {sql.re2(r"(?U)\n\s*\n")}), lambda x: {sql.has("x", r"(?U)\S")})) AS INTEGER) AS n_paragraphs,
   {sql.has("left(b, 60)", mail.GREETING)} AS has_greeting, {sql.has("right(b, 250)", r"(?Ui)(thanks|thank you|regards|best|sincerely|cheers)[,!.]?\s*(\n|$)")} AS has_signoff,
-  {sql.has("tr", r"(?U)\S")} AS has_trailer, lower(b) = b AND length(b) > 20 AS all_lower, regexp_matches(b, 'https?://|www\\.') AS has_url, {sql.has("b", r"(?Ui)\battach")} AS mentions_attachment
+  {sql.has("tr", r"(?U)\S")} AS has_trailer, lower(b) = b AND length(b) > 20 AS all_lower, regexp_matches(b, 'https?://|www\\.') AS has_url, {sql.has("b", r"(?Ui)\battach")} AS mentions_attachment,
+  starts_with(s, 're:') AS is_re, starts_with(s, 'fw:') OR starts_with(s, 'fwd:') AS is_fw, CAST(coalesce(len(to_addrs), 0) AS INTEGER) AS n_to, CAST(coalesce(len(cc_addrs), 0) AS INTEGER) AS n_cc
 FROM t
 """
+_FORM = f"""
+WITH t AS (SELECT syn_id, {sql.strip("coalesce(body, '')")} AS t, coalesce(quoted, '') AS q FROM synthetic_emails WHERE error IS NULL),
+l AS (SELECT *, string_split(t, chr(10)) AS ls, list_filter(string_split(t, chr(10)), lambda x: {sql.has("x", r"(?U)\S")}) AS f, {sql.words("t")} AS w, length(t) AS n FROM t),
+m AS (SELECT *, CASE WHEN len(f) = 0 THEN [0] ELSE list_sort(list_transform(f, lambda x: length(x))) END AS ll, greatest(n, 1) AS d FROM l),
+p AS (SELECT *, (len(ll) - 1) * CAST(0.9 AS DOUBLE) AS place FROM m)
+SELECT syn_id, round(ln(1 + w), 6) AS log_words, round(ln(1 + len(f)), 6) AS log_lines, round(list_sum(ll) / len(ll), 6) AS mean_line,
+  round(ll[CAST(floor(place) AS INTEGER) + 1] + (ll[CAST(ceil(place) AS INTEGER) + 1] - ll[CAST(floor(place) AS INTEGER) + 1]) * (place - floor(place)), 6) AS p90_line, round(CAST(list_max(ll) AS DOUBLE), 6) AS max_line,
+  {", ".join(f"round({sql.count('t', p)} / d{k}, 6) AS {c}" for c, p, k in (("upper_rate", r"\p{Lu}", ""), ("digit_rate", r"\p{Nd}", ""), ("punct_rate", "[.,;:]", ""), ("exclaim_rate", "!", " * 100"), ("question_rate", r"\?", " * 100"), ("non_ascii_rate", r"[^\x00-\x7f]", " * 100"), ("double_space_rate", "  ", " * 100")))},
+  round(len(list_filter(ls, lambda x: ends_with(x, ' '))) / greatest(len(ls), 1), 6) AS trailing_rate, round((len(ls) - len(f)) / greatest(len(ls), 1), 6) AS blank_rate, CAST({sql.has("q", r"(?U)\S")} AS DOUBLE) AS has_quoted,
+  round(CASE WHEN w > 0 THEN (n - {sql.count("t", r"(?U)\s")}) / w ELSE 0 END, 6) AS mean_word, CAST(regexp_matches(left(t, 40), '(?i)^\\s*(hi|hello|dear|hey)\\b') AS DOUBLE) AS greeting, CAST(lower(t) = t AND n > 20 AS DOUBLE) AS all_lower,
+  CAST(regexp_matches(right(t, 120), '(?im)(thanks|regards|best|sincerely)[,!.]?\\s*$') AS DOUBLE) AS signoff, round(len(list_filter(f, lambda x: length(x) > 80)) / greatest(len(f), 1), 6) AS wide_rate, CAST(regexp_matches(t, 'https?://|www\\.') AS DOUBLE) AS has_url
+FROM p
+"""
 
 
 def _wall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +135,7 @@ SQL = {
     "feature_summary": f"WITH f AS ({_FEATURES}) SELECT folder_type, {_SUMMARY} FROM f GROUP BY 1",
     "feature_totals": f"WITH f AS ({_FEATURES}) SELECT {_SUMMARY} FROM f",
     "email_structure": _STRUCTURE,
+    "form_features": _FORM,
     "top_senders": "SELECT from_addr AS sender, count(*) AS n FROM parsed_emails WHERE from_addr <> '' GROUP BY 1 ORDER BY n DESC, sender LIMIT 15",
     "top_recipients": f"SELECT a AS recipient, count(*) AS n FROM {_RECIPIENTS} GROUP BY 1 ORDER BY n DESC, recipient LIMIT 15",
     "sender_domains": "SELECT regexp_extract(from_addr, '@([^@]*)$', 1) AS domain, count(*) AS n FROM parsed_emails WHERE from_addr IS NOT NULL GROUP BY 1",

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postloom.functions import mail
-from postloom.operators import harvest, identity, judge, redact, rewrite, style
-from postloom.plans.evaluate_queries import _emails, _sources, _synthetic
-from postloom.plans.profile_queries import COMPANY
+from postloom.operators import generate, harvest, identity, judge, redact, rewrite, scrub, style
+from postloom.plans import rewrite_sql
+from postloom.plans.evaluate_queries import _SQL_SOURCES, _emails, _names, _sources, _synthetic
+from postloom.plans.lineage import cut
+from postloom.plans.profile_queries import COMPANY, INTERNAL
 from postloom.sources import read_table
 
 TERMS = ("kestra", "shift starts", "credit wants", "escrow", "risk report")
@@ -33,13 +37,11 @@ def _personas(s: SparkSession, d: str) -> DataFrame:
 
 def _pseudonymised(s: SparkSession, d: str) -> DataFrame:
     """Bodies with the sender's and recipients' names replaced by surrogates of the mailbox's profile."""
-    emails = _emails(s, d).withColumn("owner", mail.owner(F.col("file"))).join(_profile_assign(s, d).select("owner", "profile_id", "domain", "locale"), "owner")
-    addresses = F.array_union(F.array("from_addr"), F.coalesce("to_addrs", F.array().cast("array<string>")))
-    people = emails.select("email_id", "profile_id", "domain", "locale", F.explode(F.array_distinct(addresses)).alias("address")).filter("address <> ''").withColumn("name", identity.name_from_address(F.col("address"))).withColumn("identity", identity.canonical_name(F.col("name")))
-    surrogates = identity.personas(people)
-    known = people.join(surrogates, ["profile_id", "identity"]).select(F.col("email_id").alias("doc"), "name", "first", "last", "email", "address")
-    found = redact.aliases(known)
-    return redact.rewrite_names(emails.select(F.col("email_id").alias("doc"), F.col("body").alias("text")), found).select(F.col("doc").alias("email_id"), "rewritten", "n_replaced")
+    emails = identity.assign_profiles(_emails(s, d).withColumn("owner", mail.owner(F.col("file"))).filter("owner <> ''"), read_table(s, d, "profiles").select("profile_id", "domain", "locale", "profile_set"))
+    addresses = F.array_distinct(F.array_union(F.array("from_addr"), F.coalesce("to_addrs", F.array().cast("array<string>"))))
+    people = emails.select(F.col("email_id").alias("doc"), "profile_id", "domain", "locale", F.explode(addresses).alias("address")).filter("address <> ''").withColumn("name", identity.name_from_address(F.col("address"))).withColumn("identity", identity.canonical_name(F.col("name")))
+    known = people.join(identity.personas(people), ["profile_id", "identity"]).select("doc", "name", "first", "last", "email", "address")
+    return redact.rewrite_names(emails.select(F.col("email_id").alias("doc"), F.col("body").alias("text")), known).select(F.col("doc").alias("email_id"), "rewritten", "n_replaced")
 
 
 def _first_of(address: Column) -> Column:
@@ -51,11 +53,6 @@ def _consistency(s: SparkSession, d: str) -> DataFrame:
     return style.sign_greet(e, F.col("body"), F.col("sender_first"), F.col("to_first")).select("email_id", "sign_ok", "greet_ok")
 
 
-def _names(s: SparkSession, d: str) -> DataFrame:
-    words = F.split(F.lower(identity.clean_name(F.col("x_from"))), " ")
-    return _emails(s, d).filter("x_from <> ''").select(F.concat_ws(" ", F.get(words, F.lit(0)), F.element_at(words, -1)).alias("name"), F.size(words).alias("n")).filter("n = 2").select("name").distinct()
-
-
 def _people_left(s: SparkSession, d: str) -> DataFrame:
     """Full names of the corpus's people in derived texts."""
     return redact.name_hits(_synthetic(s, d).select(F.col("syn_id").alias("doc"), F.col("body").alias("text")), _names(s, d)).select(F.col("doc").alias("syn_id"), "name")
@@ -74,7 +71,8 @@ def _forced(s: SparkSession, d: str) -> DataFrame:
 
 def _restyled(s: SparkSession, d: str) -> DataFrame:
     source = _sources(s, d).select("file", F.col("body").alias("reference"))
-    return _synthetic(s, d).join(source, "file").select("syn_id", style.restore(F.col("body"), F.col("reference")).alias("body"), style.signer_missing(F.col("reference"), F.col("body"), F.substring_index(F.col("headers")["From"], "@", 1)).alias("signer_missing"))
+    styled = _synthetic(s, d).join(source, "file").withColumn("body", style.restore(F.col("body"), F.col("reference")))
+    return styled.select("syn_id", "body", style.rebuild(F.col("raw"), F.col("body"), F.col("quoted")).alias("raw"), style.signer_missing(F.col("reference"), F.col("body"), F.substring_index(F.col("headers")["From"], "@", 1)).alias("signer_missing"))
 
 
 def _rewrap(s: SparkSession, d: str) -> DataFrame:
@@ -82,16 +80,36 @@ def _rewrap(s: SparkSession, d: str) -> DataFrame:
     return style.rewrap(based, "body", "width").select("email_id", "width", (F.col("laid_out") == F.col("body")).alias("same"))
 
 
-def offline_rewriter(prompts: list[str]) -> list[tuple[str, float]]:
-    """Deterministic stand-in for a service: the text in plain typography, without what was asked before it."""
-    return [(p.split("\n", 1)[1].replace("Hi ", "Hello "), 0.0001) if "\n" in p else (p, 0.0001) for p in prompts]
+SCRUB_TERMS = scrub.Terms(("kestra grid", COMPANY), INTERNAL, ("foxglove energy", "birchline logistics", "junovale logistics"), ("bramreach", "tallowport", "elmfield"), ("RTX", "OPSC"))
+
+
+def offline_writer(prompts: list[str]) -> list[tuple[str, float]]:
+    """Deterministic stand-in for a service: what stands in the last tags of the prompt, with a word for each placeholder."""
+    return [(re.sub(r"\[(?:COMPANY|ORG_\d+|LOC_\d+|UNIT_\d+)\]", "Acorn", p[p.rfind("<subject>") :] if "<subject>" in p else p), 0.0001) for p in prompts]
+
+
+def _scrub(s: SparkSession, d: str) -> DataFrame:
+    return scrub.scrub(_emails(s, d), read_table(s, d, "profiles"), SCRUB_TERMS)
+
+
+def _scrub_checks(s: SparkSession, d: str) -> DataFrame:
+    """Per scrubbed message: profile, shift, how many hard terms are left, and whether an address of the source's header is."""
+    x = _scrub(s, d)
+    text = F.concat_ws("\n", "subject", "body", "trailer")
+    source = _emails(s, d).select("email_id", F.concat(F.array("from_addr"), F.coalesce("to_addrs", F.array().cast("array<string>"))).alias("addresses"))
+    return x.join(source, "email_id").select("email_id", "profile_id", "shift_days", F.size(redact.leaks(text, F.col("hard_terms"))).alias("n_left"), (F.size(redact.leaks(text, F.col("addresses"))) > 0).alias("address_left"))
+
+
+def _generated(s: SparkSession, d: str, mode: str) -> DataFrame:
+    g = generate.generate(_scrub(s, d), mode, offline_writer, s.createDataFrame([], rewrite.CACHE), company_terms=SCRUB_TERMS.company)
+    domains = read_table(s, d, "profiles").select(F.col("profile_id").alias("company"), "domain")
+    return g.join(domains, "company").select("email_id", "company", F.col("headers")["Message-ID"].alias("new_id"), F.col("headers")["Date"].alias("date_header"), F.size("meta.leaks_after").alias("n_leaks"), F.col("raw").rlike(scrub.PLACEHOLDER).alias("placeholder_left"), F.regexp_like(F.col("headers")["From"], F.concat(F.lit("@"), F.col("domain"), F.lit(">?$"))).alias("from_profile"), F.contains(F.lower("raw"), F.lit(COMPANY)).alias("source_left"))
 
 
-def _rewritten(s: SparkSession, d: str) -> DataFrame:
-    """Rule arm: scrubbed bodies through the rewriting loop, offline."""
-    docs = _emails(s, d).select(F.col("email_id").alias("id"), redact.redact_contacts(F.col("body")).alias("text"), F.array(F.lit(COMPANY)).alias("terms"), _first_of(F.col("from_addr")).alias("signer"))
-    cache = s.createDataFrame([], "prompt_key string, text string, cost double, model string")
-    return rewrite.rewrite(docs, cache, offline_rewriter).select(F.col("id").alias("email_id"), "attempt", F.array_join("problems", ",").alias("problems"), "forced", F.length("text").alias("out_len"))
+def _direct(s: SparkSession, d: str) -> DataFrame:
+    """The baseline without scrubbing: what its answers leak."""
+    g = generate.generate(_scrub(s, d), "direct", offline_writer, s.createDataFrame([], rewrite.CACHE))
+    return g.agg(F.count("*").alias("n"), F.count_if(F.size("meta.leaks_after") > 0).alias("n_leaking"), F.count_if(F.col("quoted") != "").alias("n_quoted"))
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -105,7 +123,8 @@ def _given(s: SparkSession, d: str) -> DataFrame:
 def _harvested(s: SparkSession, d: str) -> DataFrame:
     """How many names each way of finding them gives."""
     docs, given = _docs(s, d), _given(s, d)
-    ways = {"pairs": harvest.address_pairs(docs).select("doc", "name"), "headers": harvest.header_line_names(docs), "capitals": harvest.capitalised_names(docs, given), "lower_case": harvest.lowercase_names(docs, given, harvest.word_frequencies(docs))}
+    frequencies = cut(harvest.word_frequencies(docs))
+    ways = {"pairs": harvest.address_pairs(docs).select("doc", "name"), "headers": harvest.header_line_names(docs), "capitals": harvest.capitalised_names(docs, given, frequencies), "lower_case": harvest.lowercase_names(docs, given, frequencies)}
     found = None
     for way, names in ways.items():
         own = names.withColumn("way", F.lit(way))
@@ -136,7 +155,7 @@ QUERIES = {
     "pseudonymised": _pseudonymised,
     "redact_emails": lambda s, d: read_table(s, d, "documents").select("doc_id", redact.redact_contacts(F.col("text"), ("EMAIL",)).alias("text")),
     "redact_contacts": lambda s, d: _emails(s, d).select("email_id", redact.redact_contacts(F.col("body")).alias("body"), F.to_json(redact.span_counts(F.col("body"))).alias("counts")),
-    "shift_text_dates": lambda s, d: redact.shift_numeric_dates(_emails(s, d).select("email_id", "body", F.lit(371).alias("days")), "body", "days", "moved").select("email_id", F.length("moved").alias("moved_len"), (F.col("moved") != F.col("body")).alias("changed")),
+    "shift_text_dates": lambda s, d: _emails(s, d).select("email_id", redact.shift_numeric_dates(F.col("body"), F.lit(371)).alias("body")),
     "contact_flags": lambda s, d: read_table(s, d, "documents").select("doc_id", F.contains("text", F.lit("@")).alias("has_at"), F.col("text").rlike(r"https?://").alias("has_url"), F.col("text").rlike(_PHONE).alias("has_phone"), F.col("text").rlike(r"(\$|EUR |GBP )[0-9]").alias("has_money"), F.col("text").rlike(r"[0-9]{7,}").alias("has_long_number"), F.col("text").rlike(r"[0-9]{1,2}/[0-9]{1,2}").alias("has_date")),
     "leak_scan": _leak_scan,
     "people_left": _people_left,
@@ -146,8 +165,14 @@ QUERIES = {
     "rewrap": _rewrap,
     "consistency": _consistency,
     "consistency_rates": lambda s, d: _consistency(s, d).agg(F.count("*").alias("n"), F.round(F.avg(F.col("sign_ok").cast("int")), 6).alias("sign_rate"), F.round(F.avg(F.col("greet_ok").cast("int")), 6).alias("greet_rate")),
-    "rule_arm": _rewritten,
+    "scrub_checks": _scrub_checks,
+    "rule_mode": lambda s, d: _generated(s, d, "rule"),
+    "hybrid_mode": lambda s, d: _generated(s, d, "hybrid"),
+    "direct_mode": _direct,
     "harvested_names": _harvested,
+    "recipient_names": lambda s, d: _emails(s, d).select("email_id", F.posexplode(harvest.paired_names(F.col("x_to"), F.coalesce("to_addrs", F.array().cast("array<string>")))).alias("pos", "name")),
+    "display_names": lambda s, d: _emails(s, d).select(F.coalesce("x_from", F.lit("")).alias("x_from"), identity.clean_name(F.col("x_from")).alias("name"), identity.canonical_name(identity.clean_name(F.col("x_from"))).alias("identity")).distinct(),
+    "cleaned": lambda s, d: read_table(s, d, "documents").select("doc_id", redact.clean_artifacts(F.col("text")).alias("text")),
     "given_names": lambda s, d: _given(s, d),
     "word_frequencies": lambda s, d: harvest.word_frequencies(_docs(s, d).select("text")),
     "trimmed": lambda s, d: _emails(s, d).select("email_id", F.length(harvest.trim_words(F.col("raw_body"), 120)).alias("trimmed_len")),
@@ -156,8 +181,7 @@ QUERIES = {
     "judged_labels": _judged_labels,
 }
 
-_SQL_MOD = lambda h, n: f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({h}, ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT))), lambda a, x: (a * 16 + x) % {n})"
-_SQL_DAYS = f"CAST(round_even(({identity.TARGET_YEAR} + {_SQL_MOD(f'''sha256(owner || '|{identity.SALT}')''', 2)} - year(ts)) * 365.25 / 7, 0) * 7 AS INTEGER)"
+_SQL_MOD, _SQL_DAYS = rewrite_sql.MOD, rewrite_sql.DAYS
 _SQL_FIRST = lambda a: f"lower(CASE WHEN len(list_filter(regexp_split_to_array(split_part({a}, '@', 1), '[._-]'), lambda p: p <> '')) >= 2 AND regexp_matches(list_filter(regexp_split_to_array(split_part({a}, '@', 1), '[._-]'), lambda p: p <> '')[1], '^\\p{{L}}{{2,}}$') AND regexp_matches(list_filter(regexp_split_to_array(split_part({a}, '@', 1), '[._-]'), lambda p: p <> '')[2], '^\\p{{L}}{{2,}}$') THEN list_filter(regexp_split_to_array(split_part({a}, '@', 1), '[._-]'), lambda p: p <> '')[1] ELSE split_part({a}, '@', 1) END)"
 _SQL_CONSISTENCY = f"""
 WITH t AS (SELECT email_id, regexp_replace(regexp_replace(coalesce(body, ''), '^[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+', ''), '[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+$', '') AS b, {_SQL_FIRST("from_addr")} AS f, list_transform(to_addrs, lambda a: {_SQL_FIRST("a")}) AS r FROM parsed_emails),
@@ -167,7 +191,21 @@ SELECT email_id, CASE WHEN regexp_matches(lower(right(b, 200)), '(regards|thanks
 
 SQL = {
     "given_names": "WITH a AS (SELECT DISTINCT unnest(list_append(to_addrs, from_addr)) AS a FROM parsed_emails), l AS (SELECT list_filter(regexp_split_to_array(split_part(a, '@', 1), '[._-]'), lambda p: p <> '') AS p FROM a), n AS (SELECT DISTINCT lower(p[1]) AS f, lower(p[2]) AS s FROM l WHERE len(p) = 2 AND regexp_matches(p[1], '^\\p{L}{2,}$') AND regexp_matches(p[2], '^\\p{L}{2,}$')) SELECT f AS first, count(*) AS n_last FROM n GROUP BY 1 HAVING count(*) >= 3",
-    "word_frequencies": "WITH w AS (SELECT unnest(regexp_extract_all(lower(concat_ws(chr(10) || chr(10), body, trailer)), '\\p{L}+')) AS word FROM parsed_emails), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1) SELECT word, n, round(log10(n / sum(n) OVER () * 1e9), 4) AS zipf FROM c",
+    "word_frequencies": rewrite_sql.FREQUENCIES,
+    "persona_dim": rewrite_sql.PERSONAS,
+    "redact_contacts": rewrite_sql.REDACTED,
+    "shift_text_dates": rewrite_sql.MOVED,
+    "force_redact": rewrite_sql.FORCED,
+    "restyle": rewrite_sql.RESTYLED,
+    "trimmed": rewrite_sql.TRIMMED,
+    "recipient_names": rewrite_sql.RECIPIENTS,
+    "display_names": rewrite_sql.DISPLAY_NAMES,
+    "judged_realism": rewrite_sql.REALISM,
+    "judged_artifacts": rewrite_sql.ARTIFACTS,
+    "judged_labels": rewrite_sql.AGREEMENT,
+    "scrub_checks": rewrite_sql.SCRUBBED,
+    "rule_mode": rewrite_sql.GENERATED,
+    "hybrid_mode": rewrite_sql.GENERATED,
     "profile_assign": f"WITH p AS (SELECT *, row_number() OVER (ORDER BY profile_id) - 1 AS k, count(*) OVER () AS n FROM profiles WHERE profile_set = 'current'), o AS (SELECT DISTINCT split_part(file, '/', 1) AS owner FROM parsed_emails WHERE file <> ''), c AS (SELECT count(*) AS n FROM p), h AS (SELECT owner, {_SQL_MOD(f'''sha256(owner || '|{identity.SALT}')''', 'n')} AS k FROM o, c WHERE owner <> '') SELECT owner, profile_id, name, domain, locale FROM h JOIN p USING (k)",
     "date_shift": f"WITH t AS (SELECT email_id, split_part(file, '/', 1) AS owner, CAST(left(date, 19) AS TIMESTAMP) AS ts FROM parsed_emails), d AS (SELECT *, {_SQL_DAYS} AS shift_days FROM t) SELECT email_id, shift_days, strftime(ts + shift_days * INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S') AS shifted FROM d",
     "redact_emails": "SELECT doc_id, regexp_replace(text, '[A-Za-z0-9_.+''-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+', '[EMAIL]', 'g') AS text FROM documents",

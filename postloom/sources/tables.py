@@ -32,6 +32,11 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("message"))
 
 
+def read_document(spark: SparkSession, text: str | None = None, path: str | None = None) -> DataFrame:
+    """One row (file, message) of a text at hand, such as the standard input, or of a file."""
+    return spark.createDataFrame([("", text or "")], CORPUS_SCHEMA) if path is None else read_text_files(spark, path)
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 

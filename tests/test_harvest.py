@@ -18,11 +18,12 @@ def test_pairs_and_headers(spark):
 
 def test_capitals_and_lower_case(spark):
     given = spark.createDataFrame([("ida",), ("mila",)], "first string")
-    df = docs(spark, "With Ida Field Mila Moor, not Ida Street or May Field.", "Ask Ida\nField now", "my colleague, mila moor, is out", None)
-    assert names(harvest.capitalised_names(df, given)) == {(0, "Ida Field"), (0, "Mila Moor"), (1, "Ida Field")}
+    df = docs(spark, "With Ida Field Mila Moor, not Ida Street or May Field. The street is a street.", "Ask Ida\nField now", "my colleague, mila moor, is out", None)
+    frequencies = harvest.word_frequencies(df)
+    assert names(harvest.capitalised_names(df, given, frequencies)) == {(0, "Ida Field"), (0, "Mila Moor"), (1, "Ida Field")}
     common = spark.createDataFrame([("moor", 1, 1.0), ("mila", 1, 2.0), ("is", 9, 7.0)], "word string, n long, zipf double")
     assert names(harvest.lowercase_names(df, given, common)) == {(2, "Mila Moor")}
-    assert harvest.capitalised_names(df.limit(0), given).count() == 0
+    assert harvest.capitalised_names(df.limit(0), given, frequencies).count() == 0
 
 
 def test_display_names_and_trimming(spark):

@@ -1,10 +1,13 @@
 import re
 
 from postloom.operators import identity, redact, rewrite
-from postloom.plans.rewrite_queries import offline_rewriter
 from pyspark.sql import functions as F
 
 
+def offline_rewriter(prompts):
+    return [(p.split("\n", 1)[1].replace("Hi ", "Hello "), 0.0001) if "\n" in p else (p, 0.0001) for p in prompts]
+
+
 def test_names(spark):
     names = ["Field, Ida", "Ida Field <x@y>", "IDA FIELD", "ida.field@x.example", None, "Ida  K. Field"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(identity.clean_name(F.col("n"))).collect()]
@@ -46,15 +49,15 @@ def test_contacts_in_one_pass(spark):
 
 
 def test_dates_in_text_move(spark):
-    df = spark.createDataFrame([("on 6/12/2001 and 2-30-2001, 6/12/01, 6/12/1950", 8400), ("none", None)], "t string, days int")
-    got = [r["m"] for r in redact.shift_numeric_dates(df, "t", "days", "m").collect()]
-    assert got == ["on 6/11/2024 and 2-30-2001, 6/11/24, 6/12/1950", "none"]
+    df = spark.createDataFrame([("on 6/12/2001 and 2-30-2001, 6/12/01, 6/12/1950", 8400), ("none", None), (None, 7)], "t string, days int")
+    got = [r["m"] for r in df.select(redact.shift_numeric_dates(F.col("t"), F.col("days")).alias("m")).collect()]
+    assert got == ["on 6/11/2024 and 2-30-2001, 6/11/24, 6/12/1950", "none", None]
 
 
 def test_aliases_replace_all_forms_and_never_their_own_output(spark):
     known = spark.createDataFrame([(1, "Ida Field", "Field", "Ida", "field.ida@new.example", "ida.field@old.example"), (1, "Mila Ida", "Cora", "Vance", "c@new.example", "m@old.example")], "doc int, name string, first string, last string, email string, address string")
     docs = spark.createDataFrame([(1, "Ida Field, IDA FIELD, Field, Ida and ida field wrote (ida.field@old.example)."), (2, "Ida Field"), (3, None)], "doc int, text string")
-    got = {r["doc"]: r for r in redact.rewrite_names(docs, redact.aliases(known)).collect()}
+    got = {r["doc"]: r for r in redact.rewrite_names(docs, known).collect()}
     assert got[1]["rewritten"].startswith("Field Ida, FIELD IDA, Ida, Field and field ida wrote (field.ida@new.example)")
     assert got[2]["rewritten"] == "Ida Field" and got[3]["rewritten"] is None
 

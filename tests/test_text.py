@@ -41,15 +41,22 @@ def test_paths_and_subjects(spark):
     assert values(spark, ["Re: FW:re: Hello ", None, "Reply"], mail.base_subject(F.col("t"))) == [("hello",), ("",), ("reply",)]
 
 
+def laid(spark, how, text, width):
+    return spark.createDataFrame([(text, width)], "t string, w int").select(how(F.col("t"), F.col("w"))).first()[0]
+
+
 def test_wrap_round_trip(spark):
-    paragraph = "The committee will look at the revised plan on Monday and send its remarks before the end of the week. " * 3
-    wrapped = style.rewrap_text(paragraph.strip(), 70) + "\n\nShort end.\n- item one\n- item two"
-    width = values(spark, [wrapped], style.wrap_width(F.col("t")))[0][0]
+    paragraph = " ".join(f"word{k}" for k in range(60))
+    wrapped = laid(spark, style.wrap, paragraph, 70) + "\n\nShort end.\n- item one\n- item two"
+    assert max(map(len, wrapped.split("\n"))) <= 70
+    width = spark.createDataFrame([(wrapped,)], "t string").select(style.wrap_width(F.col("t"))).first()[0]
     assert 60 <= width <= 70
-    assert style.unwrap_text(wrapped, width).split("\n")[0] == paragraph.strip()
-    assert style.rewrap_text(style.unwrap_text(wrapped, width), 70) == wrapped
-    assert values(spark, ["short", None, ""], style.wrap_width(F.col("t"))) == [(None,), (None,), (None,)]
-
+    flat = laid(spark, style.unwrap, wrapped, width)
+    assert flat.split("\n")[0] == paragraph and flat.endswith("\n\nShort end.\n- item one\n- item two")
+    assert laid(spark, style.wrap, flat, 70) == wrapped
+    assert laid(spark, style.wrap, "  " + "ab " * 40, 60) == "\n".join("  " + " ".join(["ab"] * n) for n in (19, 19, 2))
+    for how in (style.wrap, style.unwrap):
+        assert [laid(spark, how, t, w) for t, w in ((None, 60), ("", 60), ("a\nb", None), ("x" * 90, 60), ("http://" + "y z" * 40, 60))] == [None, "", "a\nb", "x" * 90, "http://" + "y z" * 40]
 
 def test_typography(spark):
     reference = "One.  Two.  Three.  Four. End"
