@@ -19,11 +19,11 @@ _CUES = (
     ("k", r"begin quoted text\b|-{2,}\s*begin (?:quoted|forwarded)\b"),
     ("e", r"end quoted text\s*$|-{2,}\s*end (?:quoted|forwarded)\b"),
     ("H", r"-{2,}\s*original (?:message|appointment)\s*-{2,}|-{4,}[^\n]*\bforwarded (?:by|message)\b|-{4,}\s*weitergeleitet|_{16,}\s*$|_{16,}\s+from:"),
-    ("h", r"(?:on|am|le|el)\s[^\n]{6,160}\s(?:wrote|schrieb\b[^\n]*|a écrit|escribió)\s*:(?:\s*$|\s*[>|])|[^\n,.]{2,60}\swrites:(?:\s*$|\s*[>|])|\*{3}[^\n]{3,80}\ssaid on\s[^\n]{4,40}\*{3}"),
+    ("h", r"(?:on|am|le|el|il|em|op|den|dnia)\s[^\n]{6,160}\s(?:wrote|schrieb\b[^\n]*|a écrit|escribió|ha scritto|escreveu|schreef\b[^\n]*|skrev\b[^\n]*|napisał(?:\(a\))?)\s*:(?:\s*$|\s*[>|])|[^\n,.]{2,60}\swrites:(?:\s*$|\s*[>|])|\*{3}[^\n]{3,80}\ssaid on\s[^\n]{4,40}\*{3}"),
     ("p", r"(?:on|am)\s(?:\w{2,3},\s)?\d{1,2}[. ]\s?\w{2,9}[. ]\s?\d{4}\s(?:at|um)\s\d{1,2}:\d\d"),
-    ("f", r"(?:from|sent|to|cc|bcc|subject|date|von|gesendet|an|betreff):(?:\s|$)"),
+    ("f", r"(?:from|sent|to|cc|bcc|subject|date|von|gesendet|an|betreff|de|envoyé|à|objet|para|enviado|asunto|da|inviato|oggetto|aan|onderwerp|verzonden):(?:\s|$)"),
     ("m", r"\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d\d\s*[ap]m\b|[^\n]{3,70}\s\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d\d\s*[ap]m\s+to:"),
-    ("v", r"sent (?:from|via) (?:my|the)?\s*[\w -]{3,40}(?:,[^\n]{0,40})?\s*$|get the \w+ app\s*$|-- typed on the move --|von meinem \w+ gesendet"),
+    ("v", r"sent (?:from|via) (?:my|the)?\s*[\w -]{3,40}(?:,[^\n]{0,40})?\s*$|sent (?:using|with|by|on) (?:the |my |an? )?[\w .-]{3,50}\s*$|get the \w+ app\s*$|-{1,2} ?typed on [\w ]{3,30}-{0,2}\s*$|von (?:meinem|unterwegs|meiner)\b[\w ]{0,30}gesendet\s*$|(?:gesendet|envoyé|enviado|inviato|verzonden|skickat) (?:mit|von|de|depuis|desde|con|da|dal|met|vanaf|från)\b[\w .'’-]{2,50}\s*$"),
     ("s", rf"(?:{_CLOSING})\s*[,!.]?\s*(?:$|--|[*_]{{4,}})|(?:{_CLOSING})\s*,?(?:\s+[^\W\d_][\w.'-]*){{1,4}}(?<![.?!])\s*$"),
     ("d", r"--\s*$|--\s+[^\W\d_]|[*=~]{5,}\s*(?:$|[^\W\d_])|_{4,15}\s*$"),
     ("g", r"(?:hi|hello|dear|hey|good (?:morning|afternoon|evening|day)|hallo|bonjour|hola)\b[^\n.?]{0,40}$|(?:all|team|everyone|folks|colleagues)\s*[,!-]?\s*$|[^\W\d_][\w'-]*(?:,|\s-)\s*$"),
@@ -34,7 +34,7 @@ _CUE = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in _CUES),
 _INDENTED = re.compile(r"(?:\s{4}|\t)\s*\S")
 #: Words of legal notices.
 _LEGAL = re.compile(
-    r"\b(confidential\w*|privilege[ds]?|addressee|recipients?\b(?= (?:only|open)|\.)|named recipients|disclaim\w*|(?:this|the content of this|any) (?:e-?mail|mail|message|transmission|communication)|views|warrant\w*|viruses|in error|by mistake|written consent|unauthori[sz]ed|liab\w+|accepts no|monitored|supervisory bodies|before you print|woodland|offer or an acceptance|bind neither|registered office|investments|leave the list|unsubscribe|you receive this|what was received|not permitted|restricted to|business partner|subject line|does not amount|prices are|any such decision|those of its author|stored, screened)\b",
+    r"\b(confidential\w*|privilege[ds]?|addressee|recipients?\b(?= (?:only|open)|\.)|named recipients|disclaim\w*|(?:this|the content of this|any) (?:e-?mail|mail|message|transmission|communication)|views|warrant\w*|viruses|in error|by mistake|written consent|unauthori[sz]ed|liab\w+|accepts no|monitored|supervisory bodies|before you print|woodland|offer or an acceptance|bind neither|registered office|investments|leave the list|unsubscribe|you receive this|what was received|not permitted|restricted to|business partner|subject line|does not amount|prices are|any such decision|those of its author|stored, screened|legally|strictly prohibited|intended (?:solely|only|recipient\w*)|disclos\w+|copying|distribut\w+ (?:of|is|or)|vertraulich\w*|empfänger\w*|irrtümlich|unbefugt\w*|rechtlich geschützt\w*|confidentiel\w*|destinataires?|confidencial\w*|destinatario\w*|riservat\w+|vertrouwelijk\w*)\b",
     re.IGNORECASE,
 )
 _BLANK = re.compile(r"\s*$")
@@ -62,11 +62,16 @@ _PRIOR = {
     "history:q": 1.0, "history:k": 20.0, "history:e": 20.0,
     "!bracket": -1000.0, "bracketed:k": 20.0, "bracketed:e": 20.0, "bracketed closed": 20.0, "bracketed open": -4.0,
     "history begins H": 14.0, "history begins header": 12.0, "history begins dated": 12.0, "history begins otherwise": -30.0, "history begins inside": -30.0,
-    "signature>authored": -7.0, "signature begins t": -6.0, "signature long": -4.0, "signature begins closing": 1.0, "signature begins n inside": -2.5,
+    "signature>authored": -7.0, "signature begins t": -6.0, "signature lines 10+": -4.0, "signature begins closing": 1.0, "signature begins n inside": -2.5,
     "marked begins heading": 1.5, "marked begins indented": -6.0, "marked indented under heading": 3.0, "notice begins y": -1.0, "authored begins n": -0.5, "^>signature": -2.0, "^>notice": -1.0,
 }
 
 
+def _signature_length(n: int) -> str:
+    """The class of a signature's number of lines."""
+    return f"signature lines {n if n < 5 else '5-6' if n < 7 else '7-9' if n < 10 else '10+'}"
+
+
 def _whole(symbols: str, label: str, i: int, j: int) -> list[str]:
     """Whole-span features."""
     first = symbols[i]
@@ -89,17 +94,35 @@ def _whole(symbols: str, label: str, i: int, j: int) -> list[str]:
         closed = not open_ and not closed  # brackets may be nested
         return ["bracketed closed"] if closed else ["bracketed open"] if first == "k" and j == len(symbols) and open_ > 0 else ["history begins otherwise"]
     if label == "signature":
-        out = [f"signature begins {'closing' if first in 'sS' else 't' if first == 't' else first.lower() + (' inside' if first == 'n' else '')}"]
-        return [*out, "signature long"] if j - i > 9 else out
+        return [f"signature begins {'closing' if first in 'sS' else 't' if first == 't' else first.lower() + (' inside' if first == 'n' else '')}", _signature_length(j - i)]
+    single = ["notice one line"] * (label == "notice" and j - i == 1)
     if label == "marked":
         if first in "hp":
             return ["marked begins heading", *(["marked indented under heading"] * (sum(c in "iI" for c in symbols[i + 1 : j]) > 0))]
         return ["marked begins indented"] if first in "iI" else []
     if label == "notice":
-        return ["notice begins y"] if first in "yYtn" else []
+        return ["notice begins y", *single] if first in "yYtn" else single
     return ["authored begins n"] if first in "nN" else []
 
 
+_ON = re.compile(r"\s*(?:on|am|le|el|il|em|op|den|dnia)\s[^\n]*\d", re.IGNORECASE)
+_WROTE = re.compile(r"(?:^|\s|>)(?:wrote|schrieb\b.{0,60}|a écrit|escribió|ha scritto|escreveu|schreef\b.{0,60}|skrev\b.{0,60}|napisał(?:\(a\))?)\s*:\s*$", re.IGNORECASE)
+
+
+def _wrapped_headings(lines: list[str], longest: int = 4) -> set[int]:
+    """Numbers of the lines of headings ("On ... wrote:") that are broken over two to ``longest`` lines."""
+    out: set[int] = set()
+    for k, line in enumerate(lines):
+        if _WROTE.search(line) and not _ON.match(line):
+            for first in range(k - 1, max(-1, k - longest), -1):
+                if not lines[first].strip() or lines[first].lstrip()[:1] in (">", "|") or _WROTE.search(lines[first]):
+                    break
+                if _ON.match(lines[first]):
+                    out.update(range(first, k + 1))
+                    break
+    return out
+
+
 def symbols_of(lines: list[str]) -> str:
     """One symbol for each non-blank line: its cue, as a capital after a blank line where that matters.
 
@@ -123,7 +146,8 @@ def symbols_of(lines: list[str]) -> str:
                 if out[k] in "tngNG":
                     out[k] = mark
 
-    for line in lines:
+    wrapped = _wrapped_headings(lines)
+    for number, line in enumerate(lines):
         if _BLANK.match(line):
             close()
             paragraph, legal, after_blank = [], set(), True
@@ -131,7 +155,9 @@ def symbols_of(lines: list[str]) -> str:
         text = " ".join(line.split())
         m = _CUE.match(text)
         cue = m.lastgroup if m else "t"
-        if _INDENTED.match(line):
+        if number in wrapped:
+            cue = "h"
+        elif _INDENTED.match(line):
             cue = "i"
         elif cue == "f" and len(re.findall(r"\b(?:from|sent|to|subject|date|cc):\s", text, re.IGNORECASE)) > 1:
             cue = "F"
@@ -149,13 +175,13 @@ def symbols_of(lines: list[str]) -> str:
 def _compositions(n: int, seed: int) -> list[tuple[str, list[Segment]]]:
     """Labelled examples, put together from the parts that e-mails have; a bounded sample of ``n`` with known labels."""
     rng = random.Random(seed)
-    text = lambda: "t" * rng.randint(1, 9)
+    text = lambda: "t" * rng.choice((1, 1, 2, 3, 4, 5, 6, 7, 8, 9))
     name = lambda: rng.choice(("n", "N", "N", "N", "n", "NN", "nn", "nnc", "nncc", "c", "ncc", "nc", "dn", "dnc", "dnn", "dnnc", "N", "Nnc", "Nncc"))
     signature = lambda: rng.choice(("s", "s", "s", "")) + name() + rng.choice(("", "", "v"))
     notice = lambda: rng.choice(("x", "xxx", "xxxx", "xxxxx", "xxy"))
     quoted = lambda k: "q" * k
     history = lambda: rng.choice(("H", "Hfff", "Hffff", "ffff", "fff", "Nmfff", "nmfff", "Hnff", "FF")) + "".join(rng.choice(("g", "t", "tt", "s", "n", "N", "c", "v", "h", "qqq", "x", "H", "ffff", "nm", "i")) for _ in range(rng.randint(0, 8)))
-    marked = lambda: rng.choice(("h" + quoted(rng.randint(1, 12)), "h" + quoted(rng.randint(1, 12)), "h" + "i" * rng.randint(1, 10), "p" + quoted(rng.randint(2, 9)), quoted(rng.randint(2, 9))))
+    marked = lambda: rng.choice(("h" + quoted(rng.choice((rng.randint(1, 12), 60))), "h" + quoted(rng.randint(1, 12)), "h" + "i" * rng.randint(1, 10), "p" + quoted(rng.randint(2, 9)), quoted(rng.randint(2, 9))))
     bracketed = lambda: "k" + "".join(rng.choice(("g", "t", "tt", "s", "n", "Hfff", "x", "c")) for _ in range(rng.randint(1, 7))) + "e"
     out = []
     for _ in range(n):
@@ -183,10 +209,10 @@ def _compositions(n: int, seed: int) -> list[tuple[str, list[Segment]]]:
 
 
 @lru_cache(2)
-def train(n: int = 600, seed: int = 3) -> dict[str, float]:
+def train(n: int = 2500, seed: int = 3) -> dict[str, float]:
     """Weights of the segment model, trained on ``n`` labelled compositions."""
     model = SemiMarkov(LABELS, _PAIRS, _whole, _PRIOR, {"signature": 14})
-    model.train(_compositions(n, seed), rounds=6)
+    model.train(_compositions(n, seed), rounds=5, decode=segment)
     return dict(model.weights)
 
 
@@ -201,8 +227,7 @@ def segment(symbols: str, weights: dict[str, float], longest: int = 14) -> list[
     Scores are those of ``SemiMarkov`` with the features of ``_whole``: as these tell of a segment's beginning and of what is in it, the best
     beginning so far is kept for each label; only signatures, of at most ``longest`` lines, are tried at each length. Rules are absolute
     here, as sums over a long e-mail outgrow any weight: outside brackets a header block is in history, or directly before marked lines, and
-    a bracket is in history or in a bracketed segment that is closed or goes to the end, and history begins with a header block.
-    It is assumed that a bracketed segment scores more when closed or open than otherwise.
+    a bracket is in history or in a bracketed segment, which begins with it and is closed or goes to the end, and history begins with a header block.
     """
     n = len(symbols)
     if not n:
@@ -214,6 +239,7 @@ def segment(symbols: str, weights: dict[str, float], longest: int = 14) -> list[
         for c in symbols:
             total.append(total[-1] + own[c])
     headings = {m.start() for m in _HEADING.finditer(symbols)}
+    lengths = [w(_signature_length(k)) for k in range(longest + 1)]
     into = {y: [(b, w(f"{b}>{y}")) for b in _NEXT if (b, y) in _PAIRS] for y in LABELS}
     close, opened = {}, []  # end of the bracket begun at a place
     for i, c in enumerate(symbols):
@@ -221,10 +247,18 @@ def segment(symbols: str, weights: dict[str, float], longest: int = 14) -> list[
             opened.append(i)
         elif c == "e" and opened:
             close[opened.pop()] = i + 1
-    begins = lambda y, i: sum(map(w, _whole(symbols[i : i + 2], y, 0, 1 if y != "history" else min(2, n - i))))
+    first_of = {y: {} for y in LABELS}
+
+    def begins(y: str, i: int) -> float:
+        """What the beginning of a segment tells, whatever its length."""
+        key = symbols[i : i + 2]
+        if key not in first_of[y]:
+            first_of[y][key] = sum(w(f) for f in _whole(key, y, 0, 1 if y != "history" else len(key)) if f not in (f"{y} one line", "signature lines 1"))
+        return first_of[y][key]
+
     best: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
     come: list[dict[str, tuple[float, str]]] = [{} for _ in range(n)]
-    kept = dict.fromkeys(("authored", "notice", "marked", "under", "indented", "bracketed"), _NONE)  # best beginnings: score without the sum up to it, place
+    kept = dict.fromkeys(("authored", "notice", "marked", "under", "indented"), _NONE)  # best beginnings: score without the sum up to it, place
     chains: list[tuple[float, int]] = [_NONE] * (n + 1)  # of closed brackets that end at a place
     free = 0  # first place from which no rule bars a segment
     last = (_NONE[0], -1)  # best beginning of history, which goes to the end
@@ -237,6 +271,8 @@ def segment(symbols: str, weights: dict[str, float], longest: int = 14) -> list[
     for i, c in enumerate(symbols):
         j = i + 1
         before = {b: x[0] for b, x in best[i].items()} if i else {"^": 0.0}
+        fresh: dict[str, tuple[float, int]] = {}
+        single: dict[str, float] = {}
         for y in LABELS:
             if scores := [(before[b] + v, b) for b, v in into[y] if b in before]:
                 come[i][y] = max(scores)
@@ -247,9 +283,8 @@ def segment(symbols: str, weights: dict[str, float], longest: int = 14) -> list[
         for y in ("authored", "notice", "marked"):
             if y in come[i] and c != "k":
                 where = "under" if y == "marked" and c in "hp" else y
-                kept[where] = max(kept[where], (come[i][y][0] - sums[y][i] + begins(y, i), i), key=lambda t: t[0])
-        if "bracketed" in come[i]:
-            kept["bracketed"] = max(kept["bracketed"], (come[i]["bracketed"][0] - sums["bracketed"][i] + w("history begins otherwise"), i), key=lambda t: t[0])
+                single[y] = come[i][y][0] - sums[y][i] + begins(y, i) + sums[y][j] + w(f"{y} one line")
+                fresh[where] = max(kept[where], (come[i][y][0] - sums[y][i] + begins(y, i), i), key=lambda t: t[0])
         if "history" in come[i] and _whole(symbols[i : i + 2], "history", 0, min(2, n - i)) != ["history begins otherwise"]:
             last = max(last, (come[i]["history"][0] - sums["history"][i] + begins("history", i), i), key=lambda t: t[0])
         if i in close:
@@ -259,13 +294,16 @@ def segment(symbols: str, weights: dict[str, float], longest: int = 14) -> list[
             chains[close[i]] = max(chains[close[i]], chain, key=lambda t: t[0])
         if c == "k" or i in headings:
             free = j
-            kept = dict.fromkeys(kept, _NONE)
-        for y, where in (("authored", "authored"), ("notice", "notice"), ("marked", "marked"), ("marked", "under"), ("marked", "indented"), ("bracketed", "bracketed")):
+            kept, fresh, single = dict.fromkeys(kept, _NONE), {}, {}
+        for y, value in single.items():
+            put(j, y, value, i)
+        for y, where in (("authored", "authored"), ("notice", "notice"), ("marked", "marked"), ("marked", "under"), ("marked", "indented")):
             x, at = kept[where]
             put(j, y, x + sums[y][j], at)
+        kept |= fresh  # of more than one line from here on
         for at in range(max(free, j - longest), j):
             if "signature" in come[at]:
-                put(j, "signature", come[at]["signature"][0] + sums["signature"][j] - sums["signature"][at] + begins("signature", at) + (w("signature long") if j - at > 9 else 0.0), at)
+                put(j, "signature", come[at]["signature"][0] + sums["signature"][j] - sums["signature"][at] + begins("signature", at) + lengths[j - at], at)
         x, at = chains[j]  # no segment where that is _NONE
         put(j, "bracketed", x + sums["bracketed"][j] + w("bracketed closed"), at)
     put(n, "history", last[0] + sums["history"][n], last[1])
@@ -293,22 +331,11 @@ class Decoder:
 
     def labels(self, symbols: str) -> str:
         """The first letter of each line's label."""
-        # More than four like lines in a row tell no more than four, but for indented and quoted ones of a long e-mail.
-        short = _RUN.sub(lambda m: m[1] * 4, symbols)
-        if short not in self._kept:
+        if symbols not in self._kept:
             if len(self._kept) >= self._keep:
                 self._kept.clear()
-            self._kept[short] = "".join(label[0] * (j - i) for label, i, j in segment(short, self._weights))
-        labels = self._kept[short]
-        if len(short) == len(symbols):
-            return labels
-        out, at = [], 0
-        for m in _RUNS.finditer(symbols):
-            run, k = m[0], min(len(m[0]), 4)
-            own = labels[at : at + k]
-            out.append(own[:-1] + own[-1] * (len(run) - k + 1))
-            at += k
-        return "".join(out)
+            self._kept[symbols] = "".join(label[0] * (j - i) for label, i, j in segment(symbols, self._weights))
+        return self._kept[symbols]
 
     def authored(self, body: str) -> list[int]:
         """Numbers, from 1, of the newly written lines that are not blank."""
@@ -317,11 +344,7 @@ class Decoder:
         return [k for k, label in zip(numbers, self.labels(symbols_of(lines))) if label == "a"]
 
 
-_RUN = re.compile(r"([tqixyl])\1{4,}")
-_RUNS = re.compile(r"([tqixyl])\1*|.", re.DOTALL)
-
-
-def find_authored(emails: DataFrame, id_col: str = "email_id", text_col: str = "raw_body", examples: int = 600) -> DataFrame:
+def find_authored(emails: DataFrame, id_col: str = "email_id", text_col: str = "raw_body", examples: int = 2500) -> DataFrame:
     """(id, line_no, text) of the newly written lines that are not blank, lines counted from 1 after splitting at line feeds.
 
     Lines are reduced to boundary cues; a semi-Markov model of authored, signature, notice and quoted segments (marked line by line, between
