@@ -6,39 +6,43 @@ from pyspark.sql import DataFrame
 
 from postloom.plans.lineage import cut
 
-#: A mark put after a cut.
-MARK = r"(?is)\s*(\[\s*(\.{2,}|…|truncated|cut|clipped|snip|more|gekürzt|tronqué|cortado)[^\]\n]{0,40}\]|\(\s*(\.{2,}|…|truncated|cut|clipped|snip|more)[^)\n]{0,40}\)|<\s*(\.{2,}|…|truncated|cut|clipped|snip|more)[^>\n]{0,40}>|…|\.{3,}|\uFFFD+|[-*=~_]{2,}\s*(truncated|cut|clipped|snip|message truncated|text truncated)[^\n]{0,40})\s*$"
-
-#: Characters, with the white space around it.
-_LONGEST_MARK = 100
+#: A mark put after a cut; with the bounds in it, none is longer than ``_LONGEST_MARK`` characters.
+MARK = r"(?is)\s{0,9}(\[\s{0,9}(\.{2,9}|…|truncated|cut|clipped|snip|more|gekürzt|tronqué|cortado)[^\]\n]{0,40}\]|\(\s{0,9}(\.{2,9}|…|truncated|cut|clipped|snip|more)[^)\n]{0,40}\)|<\s{0,9}(\.{2,9}|…|truncated|cut|clipped|snip|more)[^>\n]{0,40}>|…|\.{3,40}|\uFFFD{1,40}|[-*=~_]{2,40}\s{0,9}(truncated|cut|clipped|snip|message truncated|text truncated)[^\n]{0,40})$"
+_LONGEST_MARK = 160
+_BLANKS = " \n\r\t\f\x0b\xa0"
 _NUMBER, _CAPITALISED = r"[0-9]+(?:[.,:/][0-9]+)*", r"\p{Lu}[\p{L}\p{M}]*"
 
 
-def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", min_seen: int = 100, max_terminal: float = 0.02, width: int = 24) -> DataFrame:
-    """(id, source, truncated) for each row with an id.
+def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_terminal: float = 0.02, z: float = 1.0, hot: int = 1_000_000) -> DataFrame:
+    """(id, source, truncated, level) for each row with an id.
+
+    Words are what stands between blanks, in a coarse form (numbers and capitalised words are one class each, line ends are kept on the word).
+    All trigrams of all texts are counted inside texts and at their ends. A text is cut when its last trigram, whose last word may be the
+    beginning of a longer one, is frequent inside texts, yet almost never ends one: an upper bound of the share of ends among its other
+    occurrences (Wilson's, at ``z``) is at most ``max_terminal``. It is whole when a lower bound of that share is above. Where neither is sure, as the trigram is
+    rare, its last two words decide in the same way, then, unless other texts end with these two words at half that share or more, its last
+    word; ``level`` tells how many words decided.
 
-    Words are what stands between blanks, in a coarse form (numbers and capitalised words are one class each, line ends are kept on the word). All trigrams of all texts are counted inside texts and at their ends. A text is cut when its last trigram, whose last word
-    may be the beginning of a longer one, is frequent inside texts, yet almost never ends one: of at least ``min_seen`` occurrences at most
-    ``max_terminal`` are ends. Where the trigram is rarer than that, its last two words decide, then its last word. A text
-    that ends in a full stop, question or exclamation mark is whole. A mark such as "[...]" or a
-    broken character after the cut is taken off first; it decides where all three are too rare, and such a text without mark is whole. Only the first ``width`` characters of a word are told apart.
+    A text that ends in a full stop, question or exclamation mark is whole (level 0). A mark such as "[...]" or a broken character after the
+    cut is taken off first; it decides (level 0) where no level is sure, and such a text without mark is whole.
 
-    Null and blank texts are not cut. Repeated ids give one row for each.
+    Null and blank texts are not cut. Repeated ids give one row for each. Endings that ``hot`` texts and more share are joined by broadcast;
+    there are at most as many as rows divided by ``hot``.
     """
     spark = docs.sparkSession
     docs = docs.selectExpr(f"`{id_col}` AS id", f"`{source_col}` AS source", f"`{text_col}` AS text").filter("id IS NOT NULL")
     grams = spark.sql(
         """
-        WITH shaped AS (
-          SELECT id, right(text, :tail) RLIKE :mark AS marked, regexp_replace(regexp_replace(replace(btrim(concat(left(text, length(text) - :tail), regexp_replace(right(text, :tail), :mark, '')), ' \n\r\t'), '\n', '¶ '), :number, '0'), :capitalised, 'A') AS text
-          FROM {docs} WHERE text IS NOT NULL
+        WITH trimmed AS (SELECT id, rtrim(:blanks, text) AS text FROM {docs} WHERE text IS NOT NULL),
+        shaped AS (
+          SELECT id, right(text, :tail) RLIKE :mark AS marked, regexp_replace(regexp_replace(replace(btrim(concat(left(text, length(text) - :tail), regexp_replace(right(text, :tail), :mark, '')), :blanks), '\n', '¶ '), :number, '0'), :capitalised, 'A') AS text FROM trimmed
         ),
         words AS (SELECT id, marked, array(split(concat('^ ^ ', text), ' ')) AS once FROM shaped WHERE text <> '')
         SELECT element_at(transform(once, t -> transform(slice(t, 3, size(t)), (x, i) ->
                  concat(t[i], ' ', t[i + 1], ' ', x, CASE WHEN i = size(t) - 3 THEN concat(' ', id, ' ', marked) ELSE '' END))), 1) AS g
         FROM words
         """,
-        args={"mark": MARK, "number": _NUMBER, "capitalised": _CAPITALISED, "tail": _LONGEST_MARK},
+        args={"mark": MARK, "number": _NUMBER, "capitalised": _CAPITALISED, "tail": _LONGEST_MARK, "blanks": _BLANKS},
         docs=docs,
     )
     # One pass over the texts: trigrams inside texts are counted as strings, the last one of each text carries its id. Keys are made of the distinct ones.
@@ -46,38 +50,53 @@ def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
         spark.sql(
             """
             WITH distinct_grams AS (SELECT split(x, ' ') AS p, n FROM (SELECT x, count(*) AS n FROM (SELECT explode(g) AS x FROM {grams}) GROUP BY x, xxhash64(x)))
-            SELECT xxhash64(p[0], p[1]) AS c, xxhash64(p[1]) AS b, left(rtrim('¶', p[2]), :width) AS w,
-                   CAST(get(p, 3) AS bigint) AS id, CAST(get(p, 4) AS boolean) AS marked, n
-            FROM distinct_grams
+            SELECT xxhash64(p[0], p[1]) AS c, xxhash64(p[1]) AS b, rtrim('¶', p[2]) AS w, CAST(get(p, 3) AS bigint) AS id, CAST(get(p, 4) AS boolean) AS marked, n FROM distinct_grams
             """,
-            args={"width": width},
             grams=grams,
         )
     )
-    last = spark.sql("SELECT id, marked, explode(array(named_struct('level', 3, 'k', c, 'w', w), named_struct('level', 2, 'k', b, 'w', w), named_struct('level', 1, 'k', 0L, 'w', w))) AS x FROM {counted} WHERE id IS NOT NULL", counted=counted)
+    last = spark.sql("SELECT id, marked, c, b, w FROM {counted} WHERE id IS NOT NULL", counted=counted)
+    endings = cut(spark.sql("SELECT c, b, w, count(*) AS n FROM {last} GROUP BY c, b, w", last=last))
+    # What ends at each level, and which beginnings of words are asked for: of a key's inner words only prefixes of these lengths are made.
+    levels = spark.sql("SELECT x.level AS level, x.k AS k, w, sum(n) AS n FROM (SELECT w, n, explode(array(named_struct('level', 3, 'k', c), named_struct('level', 2, 'k', b), named_struct('level', 1, 'k', 0L))) AS x FROM {endings}) GROUP BY 1, 2, 3", endings=endings)
+    inner = spark.sql("SELECT x.level AS level, x.k AS k, w, sum(n) AS n FROM (SELECT w, n, explode(array(named_struct('level', 3, 'k', c), named_struct('level', 2, 'k', b), named_struct('level', 1, 'k', 0L))) AS x FROM {counted} WHERE id IS NULL) GROUP BY 1, 2, 3", counted=counted)
     judged = spark.sql(
         f"""
-        WITH by_key AS (
-          SELECT x.k, x.w, sum(n) AS n FROM (SELECT explode(array(named_struct('k', c, 'w', w), named_struct('k', b, 'w', w), named_struct('k', 0L, 'w', w))) AS x, n FROM {{counted}} WHERE id IS NULL) GROUP BY 1, 2
+        WITH lengths AS (SELECT level, k, collect_set(length(w)) AS sizes FROM {{levels}} GROUP BY 1, 2),
+        met AS (
+          SELECT i.level, i.k, i.w, i.n, s.sizes FROM {{inner}} AS i JOIN lengths AS s ON i.level = s.level AND i.k = s.k WHERE i.level > 1
+          UNION ALL SELECT /*+ BROADCAST(s) */ i.level, i.k, i.w, i.n, s.sizes FROM {{inner}} AS i JOIN (SELECT * FROM lengths WHERE level = 1) AS s ON i.level = s.level WHERE i.level = 1
         ),
-        inside AS (SELECT k, w, sum(n) AS n FROM (SELECT k, n, explode(transform(sequence(1, length(w)), i -> left(w, i))) AS w FROM by_key) GROUP BY 1, 2),
-        ends AS (SELECT x.k AS k, x.w AS w, count(*) AS n FROM {{last}} GROUP BY 1, 2)
-        SELECT e.k, e.w, coalesce(i.n, 0) + e.n AS seen, e.n <= {max_terminal} * (coalesce(i.n, 0) + e.n) AS cut
-        FROM ends AS e LEFT JOIN inside AS i ON i.k = e.k AND i.w = e.w
+        inside AS (SELECT level, k, w, sum(n) AS n FROM (SELECT level, k, n, explode(transform(filter(sizes, x -> x <= length(w)), x -> left(w, x))) AS w FROM met) GROUP BY 1, 2, 3),
+        others AS (SELECT e.level, e.k, e.w, CAST(e.n - 1 AS double) AS ends, CAST(coalesce(i.n, 0) + e.n - 1 AS double) AS seen FROM {{levels}} AS e LEFT JOIN inside AS i ON i.level = e.level AND i.k = e.k AND i.w = e.w),
+        bounds AS (SELECT *, (ends + {z * z} / 2) / (seen + {z * z}) AS middle, {z} * sqrt(ends * (seen - ends) / greatest(seen, 1) + {z * z} / 4) / (seen + {z * z}) AS way FROM others)
+        SELECT level, k, w, CASE WHEN middle + way <= {max_terminal} THEN true WHEN middle - way > {max_terminal} THEN false END AS cut, ends > {max_terminal} / 2 * seen AS over FROM bounds
         """,
-        counted=counted,
-        last=last,
+        levels=levels,
+        inner=inner,
+    )
+    judged = cut(judged.filter("cut IS NOT NULL OR over"))
+    verdicts = spark.sql(
+        """
+        SELECT e.c, e.b, e.w, e.n, CASE WHEN e.w RLIKE '[.?!]$' THEN false ELSE coalesce(t.cut, d.cut, CASE WHEN d.over THEN false END, o.cut) END AS cut,
+               CASE WHEN e.w RLIKE '[.?!]$' THEN 0 WHEN t.cut IS NOT NULL THEN 3 WHEN d.cut IS NOT NULL OR d.over THEN 2 WHEN o.cut IS NOT NULL THEN 1 ELSE 0 END AS level
+        FROM {endings} AS e LEFT JOIN (SELECT * FROM {judged} WHERE level = 3) AS t ON t.k = e.c AND t.w = e.w LEFT JOIN (SELECT * FROM {judged} WHERE level = 2) AS d ON d.k = e.b AND d.w = e.w LEFT JOIN (SELECT * FROM {judged} WHERE level = 1) AS o ON o.w = e.w
+        """,
+        endings=endings,
+        judged=judged,
     )
+    verdicts = cut(verdicts)
     return spark.sql(
         f"""
-        WITH found AS (
-          SELECT l.id, NOT any_value(l.x.w) RLIKE '[.?!]$' AND coalesce(max_by(j.cut, l.x.level) FILTER (WHERE j.seen >= {min_seen}), any_value(l.marked)) AS truncated
-          FROM {{last}} AS l JOIN {{judged}} AS j ON j.k = l.x.k AND j.w = l.x.w GROUP BY l.id
+        WITH shared AS (SELECT /*+ BROADCAST(v) */ l.id, l.marked, l.c, l.b, l.w, v.n IS NOT NULL AS known, v.cut, v.level FROM {{last}} AS l LEFT JOIN (SELECT * FROM {{verdicts}} WHERE n >= {hot}) AS v ON l.c = v.c AND l.b = v.b AND l.w = v.w),
+        found AS (
+          SELECT id, coalesce(cut, marked) AS truncated, level FROM shared WHERE known
+          UNION ALL SELECT l.id, coalesce(v.cut, l.marked), v.level FROM (SELECT * FROM shared WHERE NOT known) AS l JOIN (SELECT * FROM {{verdicts}} WHERE n < {hot}) AS v ON l.c = v.c AND l.b = v.b AND l.w = v.w
         )
-        SELECT d.id, d.source, coalesce(f.truncated, false) AS truncated FROM {{docs}} AS d LEFT JOIN found AS f ON f.id = d.id
+        SELECT d.id, d.source, coalesce(f.truncated, false) AS truncated, coalesce(f.level, 0) AS level FROM {{docs}} AS d LEFT JOIN found AS f ON f.id = d.id
         """,
         last=last,
-        judged=judged,
+        verdicts=verdicts,
         docs=docs,
     )
 

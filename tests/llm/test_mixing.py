@@ -68,3 +68,13 @@ def test_truncated(spark):
     assert len(got & want) >= 28 and len(got - want) <= 2 and found.count() == 3004
     assert {r["source"] for r in truncation_rates(found).collect()} == {"a", "b", None}
     assert find_truncated(df.limit(0)).count() == 0
+
+
+def test_level_and_long_words(spark):
+    """The trigram decides where it is frequent; long words and long blanks at the end count whole."""
+    whole = "we sent the plan to the desk and the desk sent it on. The end of the page is near"
+    long = "x" * 300
+    rows = [(k, "a", f"{whole} {long}y and more of it. Yours Ida") for k in range(300)]
+    rows += [(1000, "a", f"{whole} {'x' * 299}"), (1001, "a", whole + " [... cut]" + " " * 500 + "\n"), (1002, "a", "we sent the plan to the" + "\n" * 300), (1003, "b", None), (1003, "b", " ")]
+    got = {r["id"]: (r["truncated"], r["level"]) for r in find_truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got[1000] == (True, 3) and got[1002] == (True, 3) and got[1001][0] and not got[1003][0] and not got[5][0]
