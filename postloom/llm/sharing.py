@@ -14,6 +14,8 @@ from postloom.plans.lineage import cut
 
 #: Characters hashed at a time in a task.
 _AT_ONCE = 1_000_000
+#: Different hash values of records whose texts are looked at again; as many rows are broadcast at most.
+_BUCKETS = 1 << 20
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str], list]]:
@@ -54,34 +56,72 @@ def _chunk_rows(least: int, spread: int):
 _FLAGGED = "rec long, span long, d long, c long, status int, edge int"
 
 
+def _rows(rec, span, d, c, has, status, edge) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rec), 20_000):
+        k = slice(at, at + 20_000)
+        yield pa.RecordBatch.from_arrays([pa.array(rec[k]), pa.array(span[k]), pa.array(d[k]), pa.array(c[k], mask=~has[k]), pa.array(status[k].astype(np.int32)), pa.array(edge[k].astype(np.int32))], names=["rec", "span", "d", "c", "status", "edge"])
+
+
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Flags the rows of one range, sorted by (d, c, rec). Status 2: another record has the same window; 1: the same chunk.
+    """Flags the rows of one range, sorted by (d, c, rec), batch by batch. Status 2: another record has the same window; 1: the same chunk.
 
-    Edge 1: the row's chunk may go on in another range. Edge 2: so may its window. Without an edge, the window is left out.
+    A row waits for the next batch only while all rows of its chunk, or of its window, are of one record; so what waits is part of one record,
+    however many rows have a chunk. Edge 2: the row's window may be shared in another range, 1: its chunk may. Rows of status -1 are the
+    least and the greatest record of the first and the last chunk (edge 1) and window (edge 2) of the range.
     """
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    table = pa.Table.from_batches(got).combine_chunks()
-    rec, d = table["rec"].to_numpy(), table["d"].to_numpy()
-    has = table["c"].is_valid().to_numpy()
-    c = table["c"].fill_null(0).to_numpy()
-    new_d = np.concatenate(([True], d[1:] != d[:-1]))
-    new_c = new_d | np.concatenate(([True], (c[1:] != c[:-1]) | (has[1:] != has[:-1])))
-
-    def several(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(new)
-        of = np.cumsum(new) - 1
-        return (np.minimum.reduceat(rec, at) != np.maximum.reduceat(rec, at))[of], of
+    kept: tuple | None = None  # rows that wait
+    first: tuple | None = None  # d, has, c of the first row
+    now: tuple | None = None  # d, least and greatest rec of its chunk, has, c, least and greatest rec of its window, of the last row
+    begun: list[tuple | None] = [None, None]  # least and greatest rec of the first chunk and window
 
-    many_d, of_d = several(new_d)
-    many_c, of_c = several(new_c)
-    status = np.where(many_c & has, 2, np.where(many_d, 1, 0))
-    edge = np.where((of_c == 0) | (of_c == of_c[-1]), 2, np.where((of_d == 0) | (of_d == of_d[-1]), 1, 0))
-    keep = np.flatnonzero((status > 0) | (edge > 0))
-    for at in range(0, len(keep), 20_000):
-        k = keep[at : at + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array(rec[k]), table["span"].take(pa.array(k)).combine_chunks(), pa.array(d[k]), pa.array(c[k], mask=~has[k] | (edge[k] == 0)), pa.array(status[k].astype(np.int32)), pa.array(edge[k].astype(np.int32))], names=["rec", "span", "d", "c", "status", "edge"])
+    def groups(new: np.ndarray, rec: np.ndarray, known: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(new)
+        low, high = np.minimum.reduceat(rec, at), np.maximum.reduceat(rec, at)
+        if known is not None:
+            low[0], high[0] = min(low[0], known[0]), max(high[0], known[1])
+        return low, high, np.cumsum(new) - 1
+
+    def emit(rows: tuple, status: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+        rec, span, d, c, has = rows
+        at_first = (d == first[0], (d == first[0]) & (has == first[1]) & (~has | (c == first[2])))
+        at_last = (d == now[0], (d == now[0]) & (has == now[3]) & (~has | (c == now[4]))) if last else (np.zeros(len(d), bool),) * 2
+        edge = np.where((at_first[1] | at_last[1]) & has & (status < 2), 2, np.where((at_first[0] | at_last[0]) & (status < 1), 1, 0))
+        k = (status > 0) | (edge > 0)
+        yield from _rows(rec[k], span[k], d[k], c[k], has[k] & (edge[k] == 2), status[k], edge[k])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = batch.column(3)
+        rows = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), c.fill_null(0).to_numpy(zero_copy_only=False), c.is_valid().to_numpy(zero_copy_only=False))
+        if kept is not None and len(kept[0]):
+            rows = tuple(np.concatenate(x) for x in zip(kept, rows))
+        rec, span, d, c, has = rows
+        first = first or (d[0], has[0], c[0])
+        new_d = np.concatenate(([True], d[1:] != d[:-1]))
+        new_c = new_d | np.concatenate(([True], (c[1:] != c[:-1]) | (has[1:] != has[:-1])))
+        same_d = now is not None and now[0] == d[0]
+        same_c = same_d and now[3] == has[0] and now[4] == c[0]
+        low_d, high_d, of_d = groups(new_d, rec, now[1:3] if same_d else None)
+        low_c, high_c, of_c = groups(new_c, rec, now[5:7] if same_c else None)
+        many_d, many_c = low_d != high_d, low_c != high_c
+        for k, own in enumerate((d == first[0], (d == first[0]) & (has == first[1]) & (c == first[2]))):
+            if own.any():
+                low, high = int(rec[own].min()), int(rec[own].max())
+                begun[k] = (low, high) if begun[k] is None else (min(low, begun[k][0]), max(high, begun[k][1]))
+        status = np.where(many_c[of_c] & has, 2, np.where(many_d[of_d], 1, 0))
+        n = len(rec)
+        stop = n if many_d[-1] and many_c[-1] else int(np.flatnonzero(new_c)[-1]) if many_d[-1] else int(np.flatnonzero(new_d)[-1])
+        now = (d[-1], low_d[-1], high_d[-1], has[-1], c[-1], low_c[-1], high_c[-1])
+        yield from emit(tuple(x[:stop] for x in rows), status[:stop], False)
+        kept, waiting = tuple(x[stop:] for x in rows), status[stop:]
+    if now is None:
+        return
+    yield from emit(kept, waiting, True)
+    marks = [(first[0], 0, False, *begun[0]), (now[0], 0, False, *now[1:3])]
+    marks += [(first[0], first[2], True, *begun[1])] * bool(first[1]) + [(now[0], now[4], True, *now[5:7])] * bool(now[3])
+    r, x, y, z = (np.array(v) for v in zip(*((r, d, c, of_c) for d, c, of_c, low, high in marks for r in (low, high))))
+    yield from _rows(r.astype(np.int64), np.zeros(len(r), np.int64), x.astype(np.int64), y.astype(np.int64), z.astype(bool), np.full(len(r), -1), np.where(z, 2, 1))
 
 
 def _windows(least: int):
@@ -131,15 +171,16 @@ def _compare(rows: DataFrame) -> DataFrame:
     """(rec, span, d, status) of the ``rows(rec, span, d, c)`` that other records share: status 2 with the same d and c, 1 with the same d only.
 
     Rows are range-partitioned by (digests, record), sorted, and compared with their neighbours, so a digest that a third of all records have
-    spreads over many ranges. Digests at the border of a range, a few for each range, are settled afterwards.
+    spreads over many ranges. What is still open at the borders of ranges, rows of one record for each, is settled afterwards.
     """
     order = ["d", "c", "rec"]
     flagged = cut(rows.select("rec", "span", "d", "c").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_flag, _FLAGGED))
-    edges = flagged.filter("edge > 0")
-    d_edges = edges.groupBy("d").agg((F.min("rec") != F.max("rec")).alias("many_d")).filter("many_d")
-    c_edges = edges.filter("edge = 2 and c is not null").groupBy("d", "c").agg((F.min("rec") != F.max("rec")).alias("many_c")).filter("many_c")
+    marks = flagged.filter("status = -1")
+    d_edges = marks.groupBy("d").agg((F.min("rec") != F.max("rec")).alias("many_d")).filter("many_d")
+    c_edges = marks.filter("edge = 2").groupBy("d", "c").agg((F.min("rec") != F.max("rec")).alias("many_c")).filter("many_c")
+    edges = flagged.filter("edge > 0 and status >= 0")
     at_edges = edges.join(c_edges, ["d", "c"], "left").join(d_edges, "d", "left").withColumn("status", F.greatest("status", F.when(F.col("many_c"), 2).when(F.col("many_d"), 1).otherwise(0)))
-    return flagged.filter("edge = 0").select("rec", "span", "d", "status").unionByName(at_edges.select("rec", "span", "d", "status")).filter("status > 0")
+    return flagged.filter("edge = 0 and status > 0").select("rec", "span", "d", "status").unionByName(at_edges.select("rec", "span", "d", "status").filter("status > 0"))
 
 
 def _cover(windows: DataFrame, least: int) -> DataFrame:
@@ -176,6 +217,10 @@ def find_shared(records: DataFrame, least: int = 160, spread: int = 36, measure:
         open_ = status.filter("status = 1").join(settled.select("rec").distinct(), "rec", "left_anti")
     # Settled rows with the same chunk take part: they may be the other side.
     spans = status.join(open_.select("d").distinct(), "d", "left_semi").groupBy("rec").agg(F.collect_set("span").alias("spans"))
-    windows = texts.dropDuplicates(["rec"]).join(spans, "rec").select("rec", "text", "spans").mapInArrow(_windows(least), "rec long, span long, d long, c long")
+    spans = cut(spans)
+    # Texts of other records stay where they are: a list of the records' hash values, of a bounded number, goes to the scan.
+    bucket = F.pmod(F.xxhash64("rec"), F.lit(_BUCKETS))
+    asked = texts.join(F.broadcast(spans.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
+    windows = asked.join(spans, "rec").select("rec", "text", "spans").mapInArrow(_windows(least), "rec long, span long, d long, c long")
     shared = _compare(windows).filter("status = 2").select("rec", F.col("span").cast("int").alias("start"))
     return _cover(settled.unionByName(shared), least)
