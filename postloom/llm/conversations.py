@@ -56,39 +56,53 @@ def find_links(messages: DataFrame) -> DataFrame:
     An opener is earlier, has the same bare subject, and its sender and recipients include all of the reply's; the latest one counts, on equal
     instants the larger id. For a reply without date any date will do. ``messages(id, kind, key, people, sender, instant)``.
 
-    Openers are first reduced to their distinct sets of people. A reply meets the sets that hold the rarest of its people, so a sender or
-    recipient of very many messages brings no product. The openers of a set and its replies are then walked in order of time, range by range,
-    with the last opener carried into the next range. So no pair of an opener and a reply is built, and a subject with any number of rows
-    spreads over several tasks.
+    Both sides are first reduced to their distinct sets of people; a set of repliers meets the sets of openers that hold the rarest of its
+    people, so a sender or recipient of very many messages brings no product of messages. The replies of a set, and the openers of all sets
+    around it, are then walked together in order of time, range by range, with the last opener carried into the next range. So no pair of an
+    opener and a reply is built, and a subject with any number of rows spreads over several tasks.
     """
-    openers = messages.filter("kind = 'opener'")
-    replies = messages.filter("kind = 'reply'").select("id", "key", "people", "instant")
-    sets = openers.select("key", F.col("people").alias("circle")).distinct()
-    by_person = sets.select("key", "circle", F.explode("circle").alias("person"))
+    openers = messages.filter("kind = 'opener'").select("id", "key", F.col("people").alias("circle"), "instant")
+    replies = messages.filter("kind = 'reply'").select("id", "key", F.col("people").alias("asked"), "instant")
+    by_person = openers.select("key", "circle").distinct().select("key", "circle", F.explode("circle").alias("person"))
     counts = by_person.groupBy("key", "person").agg(F.count("*").alias("n"))
-    asked = replies.select("id", "key", "people", "instant", F.explode("people").alias("person")).join(counts, ["key", "person"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = asked.groupBy("id").agg(F.min(F.struct("n", "person")).alias("r"), F.any_value("key").alias("key"), F.any_value("people").alias("people"), F.any_value("instant").alias("instant")).filter("r.n > 0")
-    met = rarest.select("id", "key", "people", "instant", F.col("r.person").alias("person")).join(by_person, ["key", "person"]).filter(F.size(F.array_except("people", "circle")) == 0).select("key", "circle", "id", "instant")
+    members = replies.select("key", "asked").distinct().select("key", "asked", F.explode("asked").alias("person")).join(counts, ["key", "person"], "left")
+    rarest = members.groupBy("key", "asked").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "person")).alias("r")).filter("r.n > 0")
+    met = rarest.select("key", "asked", F.col("r.person").alias("person")).join(by_person, ["key", "person"]).filter(F.size(F.array_except("asked", "circle")) == 0).select("key", "asked", "circle")
+    known = cut(openers.join(met, ["key", "circle"]).select("key", "asked", F.struct(F.col("instant").alias("at"), "id").alias("opener")))
     # In one order of time: openers before replies of the same instant only if they are earlier.
-    events = met.select("key", "circle", F.col("instant").alias("at"), F.lit(0).alias("is_opener"), "id", F.lit(None).cast("struct<at:timestamp,id:bigint>").alias("opener")).unionByName(
-        openers.select("key", F.col("people").alias("circle"), F.col("instant").alias("at"), F.lit(1).alias("is_opener"), "id", F.struct(F.col("instant").alias("at"), "id").alias("opener"))
-    )
-    events = _spread(events.filter("at is not null").withColumn("circle_hash", F.xxhash64("key", "circle")), "circle_hash", "at", "is_opener", "id")
-    group = ["circle_hash", "key", "circle"]
+    events = replies.select("key", "asked", F.col("instant").alias("at"), F.lit(0).alias("is_opener"), "id", F.lit(None).cast("struct<at:timestamp,id:bigint>").alias("opener")).unionByName(known.select("key", "asked", F.col("opener.at").alias("at"), F.lit(1).alias("is_opener"), F.col("opener.id").alias("id"), "opener"))
+    events = _spread(events.filter("at is not null").withColumn("asked_hash", F.xxhash64("key", "asked")), "asked_hash", "at", "is_opener", "id")
+    group = ["asked_hash", "key", "asked"]
     walk = Window.partitionBy("part", *group).orderBy("at", "is_opener", "id").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = events.groupBy("part", *group).agg(F.max("opener").alias("own")).withColumn("carried", F.last("own", ignorenulls=True).over(before)).drop("own")
     dated = events.withColumn("last", F.last("opener", ignorenulls=True).over(walk)).filter("is_opener = 0").join(carried, ["part", *group], "left").select("id", F.coalesce("last", "carried").alias("last")).filter("last is not null")
-    latest = openers.groupBy("key", F.col("people").alias("circle")).agg(F.max_by(F.struct(F.col("instant").alias("at"), "id"), F.struct("instant", "id")).alias("last"))
-    undated = met.filter("instant is null").join(latest, ["key", "circle"]).select("id", "last")
-    return dated.unionByName(undated).groupBy("id").agg(F.max("last").alias("last")).select(F.col("id").alias("reply"), F.col("last.id").alias("opener"))
+    undated = replies.filter("instant is null").join(known.groupBy("key", "asked").agg(F.max("opener").alias("last")), ["key", "asked"]).select("id", "last")
+    return dated.unionByName(undated).select(F.col("id").alias("reply"), F.col("last.id").alias("opener"))
+
+
+def quote_links(emails: DataFrame, least: int = 60) -> DataFrame:
+    """(reply, opener): messages whose history quotes a line of at least ``least`` characters that an earlier one has in its body; of several the earliest, then the smallest id.
+
+    Lines are compared by digest, without quote marks and white space around them; each line's first message is found by a pre-aggregated
+    minimum, so a line in any number of messages brings one link for each. Undated messages quote and are quoted by nobody.
+    """
+    def lines(c: str) -> Column:
+        own = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r>|")))
+        return F.array_distinct(F.transform(F.filter(own, lambda x: F.length(x) >= least), lambda x: F.sha2(x, 256)))
+
+    dated = emails.select(F.col("email_id").cast("long").alias("id"), F.try_to_timestamp("date").alias("at"), "body", "trailer").filter("id is not null and at is not null")
+    first = dated.select("id", "at", F.explode(lines("body")).alias("h")).groupBy("h").agg(F.min(F.struct("at", "id")).alias("first"))
+    quoted = dated.select("id", "at", F.explode(lines("trailer")).alias("h")).join(first, "h").filter("first.at < at")
+    return quoted.groupBy("id").agg(F.min("first").alias("first")).select(F.col("id").alias("reply"), F.col("first.id").alias("opener"))
 
 
-def rebuild_conversations(emails: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+def rebuild_conversations(emails: DataFrame, copies: DataFrame | None = None, quotes: DataFrame | None = None) -> DataFrame:
     """(conv, turn_no, id, role, sender, instant) of the whole conversations.
 
-    Copies (see ``collapse_copies``; found here if not given) count once, as their smallest id. Each reply is linked to its opener; the
-    conversations are the connected components of these links. A conversation is kept if every message has a date and a text that is not
+    Copies (see ``collapse_copies``; found here if not given) count once, as their smallest id. Each reply is linked to its opener, and by
+    ``quotes(reply, opener)``, such as those of ``quote_links``, to whom else it answers; the conversations are the connected components of
+    these links, each named after its earliest opener. A conversation is kept if every message has a date and a text that is not
     blank, at least two people write in it, and every reply has among its recipients someone else who wrote earlier in it. ``conv`` is the
     opener's id; turns count from 1 in order of instant, then id. The role is 'opener' for the writer of the first turn, else 'responder'.
 
@@ -111,8 +125,17 @@ def rebuild_conversations(emails: DataFrame, copies: DataFrame | None = None) ->
         ).filter("kind <> 'forward'")
     )
     links = cut(find_links(messages))
-    components = connected_components(links.select(F.col("reply").alias("u"), F.col("opener").alias("v")))
-    openers = components.join(links.select(F.col("opener").alias("id")).distinct(), "id").select("component", F.col("id").alias("conv"))
+    edges = links
+    if quotes is not None:
+        here = messages.select("id")
+        edges = links.unionByName(quotes.select("reply", "opener").join(here.withColumnRenamed("id", "reply"), "reply", "left_semi").join(here.withColumnRenamed("id", "opener"), "opener", "left_semi")).distinct()
+    components = connected_components(edges.select(F.col("reply").alias("u"), F.col("opener").alias("v")))
+    starts = edges.select(F.col("opener").alias("id")).distinct()
+    openers = components.join(starts, "id")
+    if quotes is None:  # one opener for each
+        openers = openers.select("component", F.col("id").alias("conv"))
+    else:
+        openers = openers.join(messages.select("id", "instant", (F.col("kind") != "opener").alias("late")), "id").groupBy("component").agg(F.min_by("id", F.struct("late", "instant", "id")).alias("conv"))
     members = cut(components.join(openers, "component").select("id", "conv").join(messages.drop("key", "people"), "id"))
     first = members.groupBy("conv", "sender").agg(F.min(F.struct("instant", "id")).alias("first"))
     broken = members.groupBy("conv").agg(F.bool_and(F.col("instant").isNotNull() & F.col("has_text")).alias("whole"), F.count_distinct("sender").alias("writers")).filter("not whole or writers < 2").select("conv")

@@ -1,6 +1,6 @@
 import random
 
-from postloom.llm.conversations import bare_subject, rebuild_conversations, subject_kind
+from postloom.llm.conversations import bare_subject, find_links, quote_links, rebuild_conversations, subject_kind
 from pyspark.sql import functions as F
 
 SCHEMA = "email_id long, message_id string, subject string, from_addr string, to_addrs array<string>, date string, raw_body string, body string, id int, conv string"
@@ -65,3 +65,29 @@ def test_hot_subject_against_brute_force(spark):
         if ok and len(seen) > 1:
             want += [(c, k, m[0]) for k, m in enumerate(members, 1)]
     assert [t[:3] for t in turns(make(spark, rows).repartition(6))] == sorted(want)
+
+
+def test_hot_subject_brings_no_product(spark):
+    """Openers and self-replies of one sender under one subject: rows, not pairs, and the latest opener for each."""
+    n = 1500
+    rows = spark.range(2 * n).selectExpr("id", "if(id % 2 = 0, 'opener', 'reply') as kind", "'' as key", "array('a@x', concat('b', id, '@x')) as circle", "timestamp_seconds(id) as instant").selectExpr("id", "kind", "key", "if(kind = 'opener', circle, array('a@x')) as people", "'a@x' as sender", "instant")
+    import time
+
+    began = time.time()
+    got = {r["reply"]: r["opener"] for r in find_links(rows).collect()}
+    assert got == {k: k - 1 for k in range(1, 2 * n, 2)} and time.time() - began < 60
+
+
+def test_quotes_join_what_subjects_part(spark):
+    line = "this line of the first message is long enough to be told apart from any other"
+    rows = [
+        (1, "<1>", "Plan", "a@x", ["b@x"], "2020-01-01T10:00:00+00:00", line, line, ""),
+        (2, "<2>", "Re: Plan", "b@x", ["a@x"], "2020-01-01T11:00:00+00:00", "Fine by me.", "Fine by me.", ""),
+        (3, "<3>", "Re: other", "a@x", ["b@x"], "2020-01-01T12:00:00+00:00", "Then we go.", "Then we go.", "> " + line),
+        (4, "<4>", "Re: other", "a@x", ["b@x"], None, "undated", "undated", "> " + line),
+    ]
+    df = spark.createDataFrame(rows, "email_id long, message_id string, subject string, from_addr string, to_addrs array<string>, date string, raw_body string, body string, trailer string")
+    quotes = quote_links(df)
+    assert [tuple(r) for r in quotes.collect()] == [(3, 1)]
+    turns = lambda **more: [(r["conv"], r["turn_no"], r["id"]) for r in rebuild_conversations(df, **more).orderBy("conv", "turn_no").collect()]
+    assert turns() == [(1, 1, 1), (1, 2, 2)] and turns(quotes=quotes) == [(1, 1, 1), (1, 2, 2), (1, 3, 3)]
