@@ -73,27 +73,37 @@ class WaveletMatrix:
 class FMIndex:
     """Index of texts given as one array of symbols above 0, with a 0 after each text."""
 
-    def __init__(self, symbols: np.ndarray, sample: int = 32):
+    def __init__(self, before: np.ndarray, kept: np.ndarray, position: np.ndarray):
+        """From its stored parts: the symbol before each suffix in order, which suffixes have their position kept, and these positions."""
+        self.n = n = len(before)
+        before = before.astype(np.int64)
+        levels = max(1, int(before.max()).bit_length()) if n else 1
+        self.wavelet = WaveletMatrix(before, levels)
+        counts = np.bincount(before, minlength=(1 << levels) + 1)
+        self.first = np.concatenate(([0], np.cumsum(counts)))[: (1 << levels) + 1]
+        self.kept = kept
+        self.kept_before = np.concatenate(([0], np.cumsum(kept, dtype=np.int32)))
+        self.position = position
+
+    @staticmethod
+    def parts(symbols: np.ndarray, sample: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is to be stored of the index of ``symbols``; sorting the suffixes is most of the work."""
         symbols = symbols.astype(np.int64)
-        self.n = n = len(symbols)
+        n = len(symbols)
         ends = symbols == 0
         n_ends = int(ends.sum())
         distinct = symbols + n_ends
         distinct[ends] = np.arange(n_ends)  # each end is a symbol of its own: suffixes of different texts are never equal
         order = suffix_order(distinct)
-        levels = max(1, int(symbols.max()).bit_length()) if n else 1
-        before = symbols[order - 1] if n else symbols
-        self.wavelet = WaveletMatrix(before, levels)
-        counts = np.bincount(symbols, minlength=(1 << levels) + 1)
-        self.first = np.concatenate(([0], np.cumsum(counts)))[: (1 << levels) + 1]
-        self.zero_place = {}
         starts = np.zeros(n, dtype=bool)
         starts[0] = n > 0
         starts[1:] = ends[:-1]
         kept = (order % sample == 0) | starts[order]
-        self.kept = kept
-        self.kept_before = np.concatenate(([0], np.cumsum(kept, dtype=np.int32)))
-        self.position = order[kept]
+        return (symbols[order - 1] if n else symbols), kept, order[kept]
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, sample: int = 32) -> FMIndex:
+        return cls(*cls.parts(symbols, sample))
 
     def _back(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         return self.first[symbol] + self.wavelet.place(symbol, i) - self.wavelet.place(symbol, np.zeros(len(i), dtype=np.int64))

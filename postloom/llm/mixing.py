@@ -75,34 +75,39 @@ def _flight(units: list[list], rng: random.Random, constraints: int) -> list[lis
 
 def _flights(seed: int, last: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One flight for each (mix, source) over the rows of a partition; open units wait from batch to batch."""
-        waiting: dict[tuple, list] = {}
-        rngs: dict[tuple, random.Random] = {}
+        """One flight for each (mix, source, bucket) over rows sorted by these; open units wait from batch to batch. Draws depend on the seed, the key and the sorted rows only."""
+        key: tuple | None = None
+        waiting: list[list] = []
+        rng = random.Random()
+
+        def settle() -> list[tuple]:
+            if last and waiting:  # landing: the token constraint is dropped, then that on the number of documents
+                for constraints in (1, 0):
+                    _flight([u for u in waiting if 0 < u[2] < 1], rng, constraints)
+            return [(*key, *u) for u in waiting]
+
         for df in batches:
             done: list[tuple] = []
-            for key, own in df.groupby(["mix", "source"], dropna=False, sort=False):
-                if key not in rngs:
-                    first = own.iloc[0]
-                    rngs[key] = random.Random(hashlib.blake2b(f"{seed}|{key[0]}|{key[1]}|{first['id']}|{len(own)}".encode(), digest_size=8).digest())
-                units = [[i, t, p, c] for i, t, p, c in zip(own["id"].tolist(), own["tokens"].tolist(), own["fraction"].tolist(), own["base"].tolist())]
-                open_ = _flight([*waiting.get(key, []), *(u for u in units if 0 < u[2] < 1)], rngs[key], 2)
-                still = {id(u) for u in open_}
-                done += [(*key, *u) for u in [*waiting.get(key, []), *units] if id(u) not in still]
-                waiting[key] = open_
+            for own_key, own in df.groupby(["mix", "source", "bucket"], dropna=False, sort=False):
+                own_key = tuple(None if v is None or v != v else v for v in own_key)
+                if own_key != key:
+                    if key is not None:
+                        done += settle()
+                    key, waiting = own_key, []
+                    rng = random.Random(hashlib.blake2b(f"{seed}|{key}".encode(), digest_size=8).digest())
+                units = [*waiting, *([i, t, p, c] for i, t, p, c in zip(own["id"].tolist(), own["tokens"].tolist(), own["fraction"].tolist(), own["base"].tolist()))]
+                waiting = _flight([u for u in units if 0 < u[2] < 1], rng, 2)
+                still = {id(u) for u in waiting}
+                done += [(*key, *u) for u in units if id(u) not in still]
             yield pd.DataFrame(done, columns=_COLUMNS).astype({"fraction": "float64"})
-        rest = []
-        for key, units in waiting.items():
-            if last:  # landing: the token constraint is dropped, then that on the number of documents
-                for constraints in (1, 0):
-                    _flight([u for u in units if 0 < u[2] < 1], rngs[key], constraints)
-            rest += [(*key, *u) for u in units]
-        yield pd.DataFrame(rest, columns=_COLUMNS).astype({"fraction": "float64"})
+        if key is not None:
+            yield pd.DataFrame(settle(), columns=_COLUMNS).astype({"fraction": "float64"})
 
     return run
 
 
-_COLUMNS = ["mix", "source", "id", "tokens", "fraction", "base"]
-_SCHEMA = "mix string, source string, id long, tokens long, fraction double, base int"
+_COLUMNS = ["mix", "source", "bucket", "id", "tokens", "fraction", "base"]
+_SCHEMA = "mix string, source string, bucket long, id long, tokens long, fraction double, base int"
 
 
 def plan_mixes(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -122,24 +127,29 @@ def plan_mixes(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return wanted.withColumn("short", short).withColumn("uses", uses).withColumn("base", F.floor("uses").cast("int")).withColumn("fraction", F.col("uses") - F.floor("uses")).drop("uses", "total")
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 7, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 7, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, bucket_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(selection, report) of the mixes in ``targets(mix_name, source, target_share, max_repeats)`` over ``docs(doc_id, source, text)``.
 
     ``selection(mix, source, id, tokens, copies)`` has the records used. ``report`` has one row for each target with its sizes, the tokens and
     records used, and the actual share of the mix's tokens.
 
-    The extra use of a record is drawn by the cube method, balanced on the tokens and the number of records of each source. The flight runs
-    in each partition where the rows lie and leaves at most two open records there for each (mix, source); these are gathered for a second
-    flight and the landing, so a source of any size is never gathered. Draws depend on ``seed`` and on the order of the rows. Repeated rows
-    are records of their own.
+    The extra use of a record is drawn by the cube method, balanced on the tokens and the number of records of each source. Records of a
+    source that may be drawn are spread by a hash of the seed and their id over buckets of about ``bucket_rows``; the flight runs in each bucket and leaves at most two
+    open records there, which are gathered for a second flight and the landing, so a source of any size is never gathered. Draws depend
+    on the seed, the ids and sizes only, not on how rows lie. Repeated rows are records of their own.
     """
     sizes = cut(count_tokens(docs, tokenizers, vocabulary))
     plan = cut(plan_mixes(sizes, targets))
-    used = sizes.join(plan.filter("base > 0 or fraction > 0").select("mix", "source", "base", "fraction"), "source").select(*_COLUMNS)
-    flown = cut(used.mapInPandas(_flights(seed, last=False), _SCHEMA))
+    used = sizes.join(plan.filter("base > 0 or fraction > 0").select("mix", "source", "base", "fraction"), "source")
+    largest = plan.agg(F.coalesce(F.max("docs"), F.lit(0))).first()[0]
+    order = F.xxhash64(F.lit(seed), F.col("id"))
+    drawn = used.filter("fraction > 0").withColumn("bucket", F.pmod(order, F.lit(max(1, -(-largest // bucket_rows))))).select(*_COLUMNS)
+    sorted_ = lambda df, *by: df.repartition("mix", "source", *by).sortWithinPartitions("mix", "source", *by, F.xxhash64(F.lit(seed), F.col("id")), "id", "tokens")
+    flown = cut(sorted_(drawn, "bucket").mapInPandas(_flights(seed, last=False), _SCHEMA))
     is_open = (F.col("fraction") > 0) & (F.col("fraction") < 1)
-    landed = cut(flown.filter(is_open).repartition("mix", "source").sortWithinPartitions("mix", "source", "id").mapInPandas(_flights(seed + 1, last=True), _SCHEMA))
-    selection = flown.filter(~is_open).unionByName(landed).select("mix", "source", "id", "tokens", (F.col("base") + F.col("fraction").cast("int")).alias("copies")).filter("copies > 0")
+    landed = cut(sorted_(flown.filter(is_open).withColumn("bucket", F.lit(0).cast("long"))).mapInPandas(_flights(seed + 1, last=True), _SCHEMA))
+    picked = flown.filter(~is_open).unionByName(landed).unionByName(used.filter("fraction = 0").withColumn("bucket", F.lit(0).cast("long")).select(*_COLUMNS))
+    selection = picked.select("mix", "source", "id", "tokens", (F.col("base") + F.col("fraction").cast("int")).alias("copies")).filter("copies > 0")
     taken = selection.groupBy("mix", "source").agg(F.sum("copies").alias("records_used"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"), F.max("copies").alias("most_repeats"))
     whole = taken.groupBy("mix").agg(F.sum("tokens_used").alias("mix_tokens"))
     report = plan.join(taken, ["mix", "source"], "left").join(whole, "mix", "left").select(

@@ -72,8 +72,9 @@ QUERIES |= {"p7_found": p7_found, "p7_removals": p7_removals}
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose source is used as often as it may be, in all its records, and gives less than was wanted."""
     _, report = mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
-    return report.filter("short").select(F.col("mix").alias("mix_name"), "source")
+    return report.filter("records_used = docs * max_repeats and tokens_used < wanted").select(F.col("mix").alias("mix_name"), "source")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,8 @@ SLOTS = (
     rf"\[{_JOINED}\]",
     r"\[\p{Lu}{2,}(?:_\p{Lu}+)*(?:_[0-9]+)?\]",
     r"\[(?i:your|insert|enter|add|tbd|to be|recipient|sender|customer|client|first|last|company)\b[^\]\n]{0,40}\]",
+    r"\[(?i:(?:full |first |last |your |user )?name|date|company|address|job title|title|subject|phone|e-?mail|amount|city|signature|position|department)\]",
+    r"(?<![\p{L}\p{N}|])\|\p{Lu}{3,}(?:_\p{Lu}+)*\|(?![\p{L}\p{N}|])",
     r"\b[Xx]{3,}(?:-[Xx]{3,})+\b",
 )
 
@@ -44,6 +46,14 @@ EXEMPLARS = {
         "dolor sit amet magna aliqua",
         "ut enim ad minim veniam quis nostrud",
         "duis aute irure dolor in reprehenderit",
+        "excepteur sint occaecat cupidatat non proident",
+        "sed ut perspiciatis unde omnis iste natus",
+        "at vero eos et accusamus et iusto odio",
+        "pellentesque habitant morbi tristique senectus et netus",
+        "vestibulum ante ipsum primis in faucibus",
+        "curabitur pretium tincidunt lacus nulla gravida orci",
+        "the quick brown fox jumps over the lazy dog",
+        "this is placeholder text please replace it",
         "this is sample text to be replaced",
         "sample text to be replaced by the real message",
         "replace this text with your own",
@@ -79,6 +89,17 @@ EXEMPLARS = {
         "traceback most recent call last line 12 in",
         "timeouterror no answer after 30 ms",
         "too many requests please try again later",
+        "the page you were looking for doesn't exist",
+        "the page you were looking for does not exist",
+        "sorry the page you requested could not be found",
+        "we are currently undergoing scheduled maintenance please check back soon",
+        "this site is down for maintenance please check back later",
+        "fatal error uncaught exception thrown in on line 0",
+        "warning undefined variable in on line 0",
+        "an unexpected error has occurred please contact the administrator",
+        "bad request your browser sent a request that this server could not understand",
+        "this page isn't working right now",
+        "database error unable to connect to the database server",
         "this site can't be reached",
     ),
     "script notice": (
@@ -90,6 +111,10 @@ EXEMPLARS = {
         "your browser does not support scripting some content can not be shown",
         "noscript your browser does not support",
         "please turn on javascript and reload the page",
+        "we've detected that javascript is disabled in this browser",
+        "please verify you are a human to continue",
+        "your browser is out of date update it to view this site",
+        "you need to enable javascript to run this app",
     ),
 }
 

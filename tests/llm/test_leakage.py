@@ -17,7 +17,7 @@ def test_index_finds_and_locates_all():
     rng = np.random.default_rng(1)
     texts = [rng.integers(1, 6, rng.integers(0, 60)) for _ in range(40)] + [np.tile([1, 2], 50)] * 3
     flat = np.concatenate([np.append(t, 0) for t in texts])
-    index = FMIndex(flat, sample=7)
+    index = FMIndex.of(flat, sample=7)
     patterns = np.array([flat[i : i + 4] for i in range(len(flat) - 4) if (flat[i : i + 4] > 0).all()] + [[5, 5, 5, 5]])
     rows, low, high = index.search(patterns)
     got = {tuple(patterns[r]): sorted(index.locate(np.arange(a, b)).tolist()) for r, a, b in zip(rows, low, high)}

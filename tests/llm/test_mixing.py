@@ -78,3 +78,15 @@ def test_level_and_long_words(spark):
     rows += [(1000, "a", f"{whole} {'x' * 299}"), (1001, "a", whole + " [... cut]" + " " * 500 + "\n"), (1002, "a", "we sent the plan to the" + "\n" * 300), (1003, "b", None), (1003, "b", " ")]
     got = {r["id"]: (r["truncated"], r["level"]) for r in find_truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert got[1000] == (True, 3) and got[1002] == (True, 3) and got[1001][0] and not got[1003][0] and not got[5][0]
+
+
+@here
+def test_draws_do_not_depend_on_how_rows_lie(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', 'b') as source", "repeat('word ', int(id % 17) + 1) as text")
+    targets = spark.createDataFrame([("m", "a", 0.1, 2), ("m", "b", 0.4, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    draws = [sorted(map(tuple, mix_sources(x, targets, bucket_rows=300)[0].select("mix", "id", "copies").collect())) for x in (df.repartition(1), df.repartition(9).orderBy("doc_id", ascending=False), df.repartition(3, "source"))]
+    assert draws[0] == draws[1] == draws[2]
+    report = {r["source"]: r for r in mix_sources(df, targets, bucket_rows=300)[1].collect()}
+    assert all(abs(r["tokens_used"] - r["wanted"]) < 60 for r in report.values())
+    other = mix_sources(df, targets, seed=8, bucket_rows=300)[0]
+    assert sorted(map(tuple, other.select("mix", "id", "copies").collect())) != draws[0]
