@@ -33,11 +33,11 @@ def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     docs = docs.selectExpr(f"`{id_col}` AS id", f"`{source_col}` AS source", f"`{text_col}` AS text").filter("id IS NOT NULL")
     grams = spark.sql(
         """
-        WITH trimmed AS (SELECT id, rtrim(:blanks, text) AS text FROM {docs} WHERE text IS NOT NULL),
-        shaped AS (
-          SELECT id, right(text, :tail) RLIKE :mark AS marked, regexp_replace(regexp_replace(replace(btrim(concat(left(text, length(text) - :tail), regexp_replace(right(text, :tail), :mark, '')), :blanks), '\n', '¶ '), :number, '0'), :capitalised, 'A') AS text FROM trimmed
-        ),
-        words AS (SELECT id, marked, array(split(concat('^ ^ ', text), ' ')) AS once FROM shaped WHERE text <> '')
+        WITH whole AS (SELECT id, CASE WHEN rtrim(:blanks, right(text, :tail)) = '' THEN rtrim(:blanks, text) ELSE text END AS text FROM {docs} WHERE text IS NOT NULL),
+        parts AS (SELECT id, left(text, length(text) - 2 * :tail) AS head, rtrim(:blanks, right(text, 2 * :tail)) AS tail FROM whole),
+        marks AS (SELECT id, head, tail, right(tail, :tail) RLIKE :mark AS marked FROM parts),
+        shaped AS (SELECT id, marked, regexp_replace(regexp_replace(replace(ltrim(:blanks, concat(head, CASE WHEN marked THEN rtrim(:blanks, concat(left(tail, length(tail) - :tail), regexp_replace(right(tail, :tail), :mark, ''))) ELSE tail END)), '\n', '¶ '), :number, '0'), :capitalised, 'A') AS text FROM marks),
+        words AS (SELECT id, marked, array(split(concat('^ ^ ', text), ' ')) AS once FROM shaped)
         SELECT element_at(transform(once, t -> transform(slice(t, 3, size(t)), (x, i) ->
                  concat(t[i], ' ', t[i + 1], ' ', x, CASE WHEN i = size(t) - 3 THEN concat(' ', id, ' ', marked) ELSE '' END))), 1) AS g
         FROM words
@@ -45,12 +45,12 @@ def find_truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
         args={"mark": MARK, "number": _NUMBER, "capitalised": _CAPITALISED, "tail": _LONGEST_MARK, "blanks": _BLANKS},
         docs=docs,
     )
-    # One pass over the texts: trigrams inside texts are counted as strings, the last one of each text carries its id. Keys are made of the distinct ones.
+    # One pass over the texts (explode_outer, as the filter inferred for explode would do all the work twice): trigrams inside texts are counted as strings, the last one of each text carries its id. Keys are made of the distinct ones.
     counted = cut(
         spark.sql(
             """
-            WITH distinct_grams AS (SELECT split(x, ' ') AS p, n FROM (SELECT x, count(*) AS n FROM (SELECT explode(g) AS x FROM {grams}) GROUP BY x, xxhash64(x)))
-            SELECT xxhash64(p[0], p[1]) AS c, xxhash64(p[1]) AS b, rtrim('¶', p[2]) AS w, CAST(get(p, 3) AS bigint) AS id, CAST(get(p, 4) AS boolean) AS marked, n FROM distinct_grams
+            WITH distinct_grams AS (SELECT split(x, ' ') AS p, n FROM (SELECT x, count(*) AS n FROM (SELECT explode_outer(g) AS x FROM {grams}) GROUP BY x, xxhash64(x)))
+            SELECT xxhash64(p[0], p[1]) AS c, xxhash64(p[1]) AS b, rtrim('¶', p[2]) AS w, CAST(get(p, 3) AS bigint) AS id, CAST(get(p, 4) AS boolean) AS marked, n FROM distinct_grams WHERE p[2] <> '' OR p[1] <> '^'
             """,
             grams=grams,
         )
