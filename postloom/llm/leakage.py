@@ -32,30 +32,21 @@ def words(text: str) -> list[str]:
 
 
 _FOUND = "doc_id long, item_id long, first_word int, n_words int, start_char int, end_char int"
-#: A shard: its documents' ids and numbers of words; of each word the characters before it since the last one and its own; the different words; the parts of the FM-index.
-_SHARD = "ids binary, lengths binary, gaps binary, sizes binary, words binary, before binary, kept binary, position binary"
+#: A shard: its documents' ids, texts and numbers of words, the different words, and the parts of the FM-index.
+_SHARD = "ids binary, texts array<string>, lengths binary, words binary, before binary, kept binary, position binary"
 
 
 def _shard_rows(shard_words: int):
     def shard(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-        codes_of: dict[str, int] = {}
-        codes, lengths, gaps, sizes = [], [], [], []
-        for t in texts:
-            n, at = 0, 0
-            for m in _TOKEN.finditer(t):
-                w = _NO_WORD.sub("", m[0].lower())
-                if w:
-                    codes.append(codes_of.setdefault(w, len(codes_of) + 1))
-                    gaps.append(m.start() - at)
-                    sizes.append(m.end() - m.start())
-                    at = m.end()
-                    n += 1
-            lengths.append(n)
+        each = [words(t) for t in texts]
+        lengths = np.array([len(ws) for ws in each], dtype=np.int32)
+        codes, names = pd.factorize(np.array([w for ws in each for w in ws], dtype=object))
         symbols = np.zeros(len(codes) + len(texts), dtype=np.int64)
-        symbols[np.arange(len(codes)) + np.repeat(np.arange(len(texts)), lengths)] = codes
+        symbols[np.arange(len(codes)) + np.repeat(np.arange(len(texts)), lengths)] = codes + 1
         before, kept, position = FMIndex.parts(symbols)
-        arrays = (np.array(ids, np.int64), np.array(lengths, np.int32), np.array(gaps, np.int32), np.array(sizes, np.int32), None, before.astype(np.int32), np.packbits(kept), position.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(["\n".join(codes_of).encode() if x is None else x.tobytes()], pa.binary()) for x in arrays], names=["ids", "lengths", "gaps", "sizes", "words", "before", "kept", "position"])
+        blob = lambda x: pa.array([x.tobytes() if isinstance(x, np.ndarray) else x], pa.binary())
+        arrays = [blob(np.array(ids, np.int64)), pa.array([texts], pa.list_(pa.string())), blob(lengths), blob("\n".join(names).encode()), blob(before.astype(np.int32)), blob(np.packbits(kept)), blob(position.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, names=["ids", "texts", "lengths", "words", "before", "kept", "position"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -76,7 +67,7 @@ def _shard_rows(shard_words: int):
 
 
 def build_index(docs: DataFrame, shard_words: int = 500_000) -> DataFrame:
-    """One row for each shard of about ``shard_words`` words of ``docs(doc_id, text)``: an FM-index and what leads from words back to characters.
+    """One row for each shard of about ``shard_words`` words of ``docs(doc_id, text)``: an FM-index and the texts it leads back to.
 
     Shards are parts of the scan's partitions, so no text is shuffled. The rows can be kept as a table and searched any number of times.
     Null and blank texts are left out.
@@ -134,14 +125,11 @@ def _search_shard(row: dict, patterns: _Patterns) -> Iterator[pa.RecordBatch]:
     pairs = pd.DataFrame({"doc": np.repeat(doc, n_items), "item": whose, "at": np.repeat(position - starts[doc], n_items)}).drop_duplicates().sort_values(["doc", "item", "at"])
     new = (pairs["doc"] != pairs["doc"].shift()) | (pairs["item"] != pairs["item"].shift()) | (pairs["at"] > pairs["at"].shift() + least)
     spans = pairs.groupby(new.cumsum()).agg(doc=("doc", "first"), item=("item", "first"), first=("at", "min"), last=("at", "max"))
-    gaps, sizes = get("gaps", np.int32), get("sizes", np.int32)
-    first_word = np.concatenate(([0], np.cumsum(lengths)))
     out = []
     for d, own in spans.groupby("doc"):
-        a, b = first_word[d], first_word[d + 1]
-        ends = np.cumsum(gaps[a:b] + sizes[a:b])
+        places = [m.span() for m in _TOKEN.finditer(row["texts"][d]) if _NO_WORD.sub("", m[0])]
         for item, first, last in own[["item", "first", "last"]].itertuples(index=False):
-            out.append((int(ids[d]), item, first, last + least - first, int(ends[first] - sizes[a + first]), int(ends[last + least - 1])))
+            out.append((int(ids[d]), item, first, last + least - first, places[first][0], places[last + least - 1][1]))
     columns = list(zip(*out))
     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "first_word", "n_words", "start_char", "end_char"])
