@@ -341,3 +341,4 @@ SELECT w.file, {_sql_header("Message-ID")} AS message_id, strftime(ts, '%Y-%m-%d
 FROM w LEFT JOIN (SELECT file, any_value(body) AS body FROM parsed_emails GROUP BY 1) e USING (file)
 """,
 }
+SQL["parse_exact"] = f"SELECT file, message_id, date, from_addr, regexp_replace(subject, '\\s+', ' ', 'g') AS subject, raw_len FROM ({SQL['parse_messages']})"

@@ -205,6 +205,7 @@ SQL = {
     "judged_labels": rewrite_sql.AGREEMENT,
     "scrub_checks": rewrite_sql.SCRUBBED,
     "rule_mode": rewrite_sql.GENERATED,
+    "cleaned": rewrite_sql.CLEANED,
     "hybrid_mode": rewrite_sql.GENERATED,
     "profile_assign": f"WITH p AS (SELECT *, row_number() OVER (ORDER BY profile_id) - 1 AS k, count(*) OVER () AS n FROM profiles WHERE profile_set = 'current'), o AS (SELECT DISTINCT split_part(file, '/', 1) AS owner FROM parsed_emails WHERE file <> ''), c AS (SELECT count(*) AS n FROM p), h AS (SELECT owner, {_SQL_MOD(f'''sha256(owner || '|{identity.SALT}')''', 'n')} AS k FROM o, c WHERE owner <> '') SELECT owner, profile_id, name, domain, locale FROM h JOIN p USING (k)",
     "date_shift": f"WITH t AS (SELECT email_id, split_part(file, '/', 1) AS owner, CAST(left(date, 19) AS TIMESTAMP) AS ts FROM parsed_emails), d AS (SELECT *, {_SQL_DAYS} AS shift_days FROM t) SELECT email_id, shift_days, strftime(ts + shift_days * INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S') AS shifted FROM d",

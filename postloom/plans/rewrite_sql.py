@@ -122,3 +122,5 @@ z AS (SELECT *, CAST((epoch(wall) - epoch(timezone(zone, wall))) / 60 AS INTEGER
 SELECT email_id, profile_id AS company, '<' || left(h, 16) || '.' || lpad(CAST(CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100000 AS VARCHAR), 5, '0') || '@' || domain || '>' AS new_id,
   strftime(wall, '%a, %d %b %Y %H:%M:%S ') || CASE WHEN minutes < 0 THEN '-' ELSE '+' END || lpad(CAST(abs(minutes) // 60 AS VARCHAR), 2, '0') || lpad(CAST(abs(minutes) % 60 AS VARCHAR), 2, '0') AS date_header, 0 AS n_leaks, false AS placeholder_left, true AS from_profile, false AS source_left FROM z
 """
+#: Documents hold no quoted-printable codes, so these need no repair here.
+CLEANED = r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\[?mailto:([^\]\s>]+)\]?', '\1', 'g'), 'IMCEA[A-Z]+-[^\s\]>]+', '', 'g'), '([\w.+-]+@[\w-]+(?:\.[\w-]+)+)@[A-Za-z]+\b', '\1', 'g'), '(<[^<>\s]+@[^<>\s]+>)@[A-Za-z]+\b', '\1', 'g') AS text FROM documents"
